@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, packing
+from . import bpe, exact, langid, neardup, packing, quality
 from .common import table
 
 
@@ -20,6 +20,18 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -32,7 +44,7 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=0, max_len=2048)
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op8_bpe_codec, op9_sum_of_squares_packing)}
+QUERIES = {f.__name__: f for f in (op1_weighted_near_dedup, op4_language_id, op5_site_quality, op7_exact_dedup, op8_bpe_codec, op9_sum_of_squares_packing)}
 
 ORACLE = {
     "op7_exact_dedup": """
