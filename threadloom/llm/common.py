@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -169,3 +170,13 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     for k in range(width):
         out = out * U64(0xD6E8FEB86659FD93) + np.where(left > k, padded[pos + k], U64(7 + k))
     return mix(out), at
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    return f"{prepare(spark).rstrip('/')}/threadloom-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -219,8 +219,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """Columns `keep` of `docs` with lang_pred, score, entropy (nats a character), letters and rejected.
+def predict(docs: DataFrame, model, keep: list[str] | None = None, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """Columns `keep` of `docs` with lang_pred, score, entropy (nats a character), letters and rejected, their names after `prefix`.
 
     `model` is a broadcast Model.  A null or empty text, or one without a
     letter, is `und` with score 0, null entropy, and rejected.  The score is the
@@ -228,9 +228,9 @@ def predict(docs: DataFrame, model, keep: list[str] | None = None, text_col: str
     """
     keep = ["doc_id"] if keep is None else keep
     prepare(docs.sparkSession)
-    chosen = docs.select(docs[text_col], *[docs[c] for c in keep])
-    out = ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in ((f.name, f.dataType) for f in chosen.schema.fields[1:])), "lang_pred string", "score double", "entropy double", "letters long", "rejected boolean"])
-    names = [*keep, "lang_pred", "score", "entropy", "letters", "rejected"]
+    chosen = docs.select(docs[text_col].alias("__text"), *[docs[c] for c in keep])
+    out = ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in ((f.name, f.dataType) for f in chosen.schema.fields[1:])), f"{prefix}lang_pred string", f"{prefix}score double", f"{prefix}entropy double", f"{prefix}letters long", f"{prefix}rejected boolean"])
+    names = [*keep, *(prefix + c for c in ("lang_pred", "score", "entropy", "letters", "rejected"))]
 
     def run(batches):
         m = model.value

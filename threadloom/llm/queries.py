@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, langid, neardup, packing, quality
+from . import bpe, exact, fingerprints, langid, licences, neardup, packing, quality, warc
 from .common import table
 
 
@@ -24,6 +24,14 @@ def op1_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,10 @@ def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -44,7 +56,7 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=0, max_len=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_near_dedup, op4_language_id, op5_site_quality, op7_exact_dedup, op8_bpe_codec, op9_sum_of_squares_packing)}
+QUERIES = {f.__name__: f for f in (op1_weighted_near_dedup, op2_chunk_fingerprints, op3_warc_round_trip, op4_language_id, op5_site_quality, op6_licence_scan, op7_exact_dedup, op8_bpe_codec, op9_sum_of_squares_packing)}
 
 ORACLE = {
     "op7_exact_dedup": """
