@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, fingerprints, langid, licences, neardup, packing, quality, warc
+from . import bpe, exact, fingerprints, langid, licences, neardup, ngram, packing, quality, warc
 from .common import table
 
 
@@ -56,7 +56,11 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=0, max_len=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_near_dedup, op2_chunk_fingerprints, op3_warc_round_trip, op4_language_id, op5_site_quality, op6_licence_scan, op7_exact_dedup, op8_bpe_codec, op9_sum_of_squares_packing)}
+def op10_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(ngram.held_out(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_weighted_near_dedup, op2_chunk_fingerprints, op3_warc_round_trip, op4_language_id, op5_site_quality, op6_licence_scan, op7_exact_dedup, op8_bpe_codec, op9_sum_of_squares_packing, op10_ngram_scores)}
 
 ORACLE = {
     "op7_exact_dedup": """
