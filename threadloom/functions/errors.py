@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS_LINE, blank, trim
+from .text import WS_LINE, blank, let, trim
 
 _S = f"[{WS_LINE}]"
 _ANY = r"[^\n\r\u2028\u2029]"
@@ -70,10 +70,8 @@ def tsc(text: Column, context: int) -> Column:
     return F.when(_has(text, TSC), body)
 
 
-def python(text: Column, context: int) -> Column:
-    rest = _after(text, TRACEBACK + r"[^\n]*")
-    before = F.regexp_extract(rest, rf"(?d)\A((?s:.*?))(?m:{PY_ERROR})", 1)
-    framed = _has(before, PY_FRAME)
+def _traced(rest: Column, before: Column, context: int) -> Column:
+    """Summary of a traceback from what follows its first line, and the part of that before the error."""
     last = rf"(?d)\A(?s:.*)(?m:{PY_FRAME})"
     at = [F.regexp_extract(before, last, k) for k in (1, 2, 3)]
     # the lines right above the error, upwards to a blank line or a frame
@@ -84,27 +82,36 @@ def python(text: Column, context: int) -> Column:
         lambda a, x: F.when(a["over"] | blank(x) | _has(x, PY_FRAME), F.struct(a["kept"].alias("kept"), F.lit(True).alias("over"))).otherwise(F.struct(F.concat(a["kept"], F.array(F.concat(F.lit("  "), trim(x)))).alias("kept"), F.lit(False).alias("over"))),
         lambda a: F.slice(a["kept"], 1, context),
     )
-    source = F.when(framed & (F.size(run) > 0), F.array_join(run, "\n"))
-    frame = F.when(framed, F.concat(F.lit("at "), at[0], F.lit(":"), at[1], F.lit(" in "), at[2]))
-    traced = F.when(_has(rest, PY_ERROR), _lines(F.concat(_group(rest, PY_ERROR, 1), F.lit(": "), _group(rest, PY_ERROR, 2)), frame, source))
+    source = let(run, lambda r: F.when(F.size(r) > 0, F.array_join(r, "\n")))
+    frame = F.when(_has(before, PY_FRAME), _lines(F.concat(F.lit("at "), at[0], F.lit(":"), at[1], F.lit(" in "), at[2]), source))
+    return F.when(_has(rest, PY_ERROR), _lines(F.concat(_group(rest, PY_ERROR, 1), F.lit(": "), _group(rest, PY_ERROR, 2)), frame))
+
+
+def python(text: Column, context: int) -> Column:
+    before = lambda rest: F.regexp_extract(rest, rf"(?d)\A((?s:.*?))(?m:{PY_ERROR})", 1)
+    traced = let(_after(text, TRACEBACK + r"[^\n]*"), lambda rest: let(before(rest), lambda b: _traced(rest, b, context)))
     failed = F.when(_has(text, PY_FAILED), F.concat(F.lit("pytest FAILED: "), _group(text, PY_FAILED, 2), F.lit("\nat "), _group(text, PY_FAILED, 1)))
     return F.when(_has(text, TRACEBACK), traced).otherwise(failed)
 
 
 def _frame(lines: Column, pattern: str, otherwise_first: bool) -> Column:
     """`at file:line:column (function)` of the first frame in the user's own code."""
-    frames = F.filter(lines, lambda x: x.rlike(pattern))
-    own = F.filter(frames, lambda x: ~F.regexp_extract(x, pattern, 2).rlike("node:internal|node_modules"))
-    chosen = F.get(own, F.lit(0))
-    chosen = F.coalesce(chosen, F.get(frames, F.lit(0))) if otherwise_first else chosen
-    g = [F.regexp_extract(chosen, pattern, k) for k in range(1, 5)]
-    return F.when(chosen.isNotNull(), F.concat(F.lit("at "), g[1], F.lit(":"), g[2], F.lit(":"), g[3], F.lit(" ("), _trim_end(g[0]), F.lit(")")))
+
+    def chosen(frames: Column) -> Column:
+        own = F.get(F.filter(frames, lambda x: ~F.regexp_extract(x, pattern, 2).rlike("node:internal|node_modules")), F.lit(0))
+        return F.coalesce(own, F.get(frames, F.lit(0))) if otherwise_first else own
+
+    def shown(frame: Column) -> Column:
+        g = [F.regexp_extract(frame, pattern, k) for k in range(1, 5)]
+        return F.concat(F.lit("at "), g[1], F.lit(":"), g[2], F.lit(":"), g[3], F.lit(" ("), _trim_end(g[0]), F.lit(")"))
+
+    return let(let(F.filter(lines, lambda x: x.rlike(pattern)), chosen), shown)
 
 
 def jest(text: Column) -> Column:
     def names(pattern: str, label: str) -> Column:
         found = F.slice(F.regexp_extract_all(text, F.lit(_M + pattern), F.lit(1)), 1, NAMED)
-        return F.when(F.size(found) > 0, F.concat(F.lit(label), F.array_join(F.transform(found, trim), " | ")))
+        return let(found, lambda f: F.when(F.size(f) > 0, F.concat(F.lit(label), F.array_join(F.transform(f, trim), " | "))))
 
     frame = _frame(F.split(text, "\n", -1), ANY_FRAME, False)
     return F.when(_has(text, TEST_FAILED) | _has(text, TEST_BLOCK), _lines(names(TEST_FAILED, "failed tests: "), names(TEST_BLOCK, "failure blocks: "), frame))
@@ -121,15 +128,11 @@ def plain(text: Column) -> Column:
 
 def summary(text: Column, context: int = 8) -> Column:
     """The essence of an error output, or null where none is recognised."""
-    return F.coalesce(tsc(text, context), python(text, context), jest(text), node(text), plain(text))
-
-
-def kind(text: Column, context: int = 8) -> Column:
-    """Which matcher gives the summary."""
-    return F.when(tsc(text, context).isNotNull(), F.lit("tsc")).when(python(text, context).isNotNull(), F.lit("python")).when(jest(text).isNotNull(), F.lit("jest")).when(node(text).isNotNull(), F.lit("node")).when(plain(text).isNotNull(), F.lit("plain"))
+    return let(text, lambda t: F.coalesce(tsc(t, context), python(t, context), jest(t), node(t), plain(t)))
 
 
-def marked(text: Column, body: Column, label: str, suffix: str) -> Column:
+def marked(text: Column, body: Column, label: str, suffix: str | Column) -> Column:
     """A summary under a line that tells how many lines it stands for."""
     count = lambda c: F.size(F.split(c, "\n", -1)).cast("string")
-    return F.concat(F.lit(f"… [{label} "), count(text), F.lit(" lines → "), count(body), F.lit(f" lines]{suffix}\n"), body)
+    suffix = F.lit(suffix) if isinstance(suffix, str) else suffix
+    return F.concat(F.lit(f"… [{label} "), count(text), F.lit(" lines → "), count(body), F.lit(" lines]"), suffix, F.lit("\n"), body)

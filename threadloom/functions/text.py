@@ -6,6 +6,8 @@ unit than wanted where it meets a character outside the basic plane.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ TEXT_OUTPUTS = ("text", "error-text")
 JSON_OUTPUTS = ("json", "content")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once; inside, the value is a variable, so that the expression stays small."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def u16len(c: Column) -> Column:
     """Length in UTF-16 code units; null counts as 0."""
     return F.coalesce((F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("long"), F.lit(0).cast("long"))
@@ -76,16 +83,14 @@ def is_command_tool(name: Column) -> Column:
 
 def _member(json: Column, name: str) -> Column:
     """A string member of a JSON object, or null; numbers and objects are no strings."""
-    typed = F.from_json(json, "struct<stdout:variant,stderr:variant>")
-    member = typed[name]
-    return F.when(F.schema_of_variant(member) == "STRING", F.try_variant_get(member, "$", "string"))
+    typed = F.from_json(json, f"struct<{name}:variant>")
+    return let(typed[name], lambda m: F.when(F.schema_of_variant(m) == "STRING", F.try_variant_get(m, "$", "string")))
 
 
 def streams(json: Column) -> Column:
     """Text of a command's output object: stdout, and after a line feed stderr if there is any; null if it has neither."""
-    out = F.coalesce(_member(json, "stdout"), F.lit(""))
-    err = F.coalesce(_member(json, "stderr"), F.lit(""))
-    return F.when((out != "") | (err != ""), F.when(err != "", F.concat(out, F.lit("\n"), err)).otherwise(out))
+    both = F.struct(F.coalesce(_member(json, "stdout"), F.lit("")).alias("o"), F.coalesce(_member(json, "stderr"), F.lit("")).alias("e"))
+    return let(both, lambda x: F.when(x["e"] != "", F.concat(x["o"], F.lit("\n"), x["e"])).when(x["o"] != "", x["o"]))
 
 
 def output_text(kind: Column, value: Column) -> Column:
@@ -105,11 +110,10 @@ def event_text(raw: Column) -> Column:
 
 def with_streams(json: Column, text: Column) -> Column:
     """The output object with `text` as stdout and an empty stderr; its other members stay."""
-    members = F.from_json(json, "map<string,variant>")
-    others = F.map_filter(members, lambda k, _: ~k.isin("stdout", "stderr"))
-    rest = F.to_json(others)
-    head = F.concat(F.lit('{"stdout":'), F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2), F.lit(',"stderr":""'))
-    return F.when(rest == "{}", F.concat(head, F.lit("}"))).otherwise(F.concat(head, F.lit(","), rest.substr(F.lit(2), F.length(rest) - 1)))
+    others = F.map_filter(F.from_json(json, "map<string,variant>"), lambda k, _: ~k.isin("stdout", "stderr"))
+    quoted = let(F.to_json(F.array(text)), lambda q: q.substr(F.lit(2), F.length(q) - 2))
+    rest = let(F.to_json(others), lambda r: F.when(r == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), r.substr(F.lit(2), F.length(r) - 1))))
+    return F.concat(F.lit('{"stdout":'), quoted, F.lit(',"stderr":""'), rest)
 
 
 def safe_name(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import errors
-from ..functions.text import JSON_OUTPUTS, TEXT_OUTPUTS, half_up, is_command_tool, mask_secrets, output_text, u16len, with_streams
+from ..functions.text import JSON_OUTPUTS, TEXT_OUTPUTS, half_up, is_command_tool, let, mask_secrets, output_text, u16len, with_streams
 
 
 @dataclass(frozen=True)
@@ -30,51 +30,57 @@ class Marks:
 PREVIEW = 400
 
 
-def _times(n: Column | int, share: float) -> Column:
-    return F.ceil(F.lit(n) * share).cast("int") if isinstance(n, int) else F.ceil(n * share).cast("int")
-
-
 def truncated(text: Column, max_lines: int, max_kb: int, marks: Marks) -> Column:
     """`text` cut to 60 % head and 40 % tail, first by lines and then, if it is still too long, by characters."""
     limit = max_kb * 1024
-    lines = F.split(text, "\n", -1)
-    n = F.size(lines)
     head = -(-max_lines * 6 // 10)
     tail = max_lines - head
     join = lambda a: F.array_join(a, "\n")
-    top, bottom = join(F.slice(lines, 1, head)), join(F.slice(lines, n - tail + 1, tail)) if tail else F.lit("")
-    long = n > max_lines
-    body = F.when(long, F.concat(top, F.lit("\n"), bottom)).otherwise(text)
-    size = half_up(u16len(text) / 1024).cast("string")
-    cut = F.concat(F.when(long, F.concat(n.cast("string"), F.lit(f" lines → {max_lines} lines, "))).otherwise(F.lit("")), size, F.lit(f" KB → {max_kb} KB"))
-    mark = F.concat(F.lit(f"… [{marks.cut} "), cut, F.lit(f"]{marks.suffix}"))
-    budget = F.greatest(F.lit(limit) - F.length(mark) - 2, F.lit(1))
-    first = F.least(_times(budget, 0.6), budget)
-    last = budget - first
-    by_size = F.concat(F.substring(body, F.lit(1), first), F.lit("\n"), mark, F.lit("\n"), F.when(last > 0, F.substring(body, F.length(body) - last + 1, last)).otherwise(F.lit("")))
-    by_lines = F.concat(top, F.lit("\n"), F.lit(f"… [{marks.cut} "), n.cast("string"), F.lit(f" lines → {max_lines}]{marks.suffix}\n"), bottom)
-    return F.when(u16len(body) > limit, by_size).when(long, by_lines).otherwise(text)
+
+    def parts(t: Column) -> Column:
+        lines = F.split(t, "\n", -1)
+        return let(lines, lambda ls: F.struct(F.size(ls).alias("n"), join(F.slice(ls, 1, head)).alias("top"), (join(F.slice(ls, F.size(ls) - tail + 1, tail)) if tail else F.lit("")).alias("bottom")))
+
+    def by_size(t: Column, n: Column, body: Column) -> Column:
+        lines = F.when(n > max_lines, F.concat(n.cast("string"), F.lit(f" lines → {max_lines} lines, "))).otherwise(F.lit(""))
+        mark = F.concat(F.lit(f"… [{marks.cut} "), lines, half_up(u16len(t) / 1024).cast("string"), F.lit(f" KB → {max_kb} KB]{marks.suffix}"))
+
+        def cut(m: Column) -> Column:
+            budget = F.greatest(F.lit(limit) - F.length(m) - 2, F.lit(1))
+            first = F.least(F.ceil(budget * 0.6).cast("int"), budget)
+            last = budget - first
+            return F.concat(F.substring(body, F.lit(1), first), F.lit("\n"), m, F.lit("\n"), F.when(last > 0, F.substring(body, F.length(body) - last + 1, last)).otherwise(F.lit("")))
+
+        return let(mark, cut)
+
+    def choose(t: Column, p: Column) -> Column:
+        long = p["n"] > max_lines
+        by_lines = F.concat(p["top"], F.lit(f"\n… [{marks.cut} "), p["n"].cast("string"), F.lit(f" lines → {max_lines}]{marks.suffix}\n"), p["bottom"])
+        body = F.when(long, F.concat(p["top"], F.lit("\n"), p["bottom"])).otherwise(t)
+        return let(body, lambda b: F.when(u16len(b) > limit, by_size(t, p["n"], b)).when(long, by_lines).otherwise(t))
+
+    return let(text, lambda t: let(parts(t), lambda p: choose(t, p)))
 
 
 def trimmed_input(value: Column, marks: Marks) -> Column:
     """A call's input replaced by an object with its size and its beginning."""
-    preview = F.to_json(F.array(F.substring(value, 1, PREVIEW)))
-    return F.concat(F.lit(f'{{"{marks.input_key}":"input truncated (not re-executable)","originalChars":'), u16len(value).cast("string"), F.lit(',"preview":'), F.substring(preview, F.lit(2), F.length(preview) - 2), F.lit("}"))
+    preview = let(F.to_json(F.array(F.substring(value, 1, PREVIEW))), lambda p: F.substring(p, F.lit(2), F.length(p) - 2))
+    return F.concat(F.lit(f'{{"{marks.input_key}":"input truncated (not re-executable)","originalChars":'), u16len(value).cast("string"), F.lit(',"preview":'), preview, F.lit("}"))
 
 
 def _rewritten(df: DataFrame, change, saved: str, roles: list[str]) -> DataFrame:
-    """`change` maps a part to (new part, saved characters); `saved` becomes a column."""
+    """`change` maps a part to a struct of the new part and saved characters; `saved` becomes a column."""
     inside = (F.col("pos") >= F.col("region_start")) & (F.col("pos") < F.col("region_end")) & F.col("role").isin(*roles) & (F.col("kind") == "parts")
 
-    def both(p: Column) -> Column:
-        new, size = change(p)
-        return F.struct(new.alias("part"), size.cast("long").alias("saved"))
-
-    out = df.withColumn("__new", F.when(inside, F.transform("parts", both)))
+    out = df.withColumn("__new", F.when(inside, F.transform("parts", change)))
     total = F.aggregate("__new", F.lit(0).cast("long"), lambda a, x: a + x["saved"])
     return out.withColumns({"parts": F.when(F.col("__new").isNotNull(), F.transform("__new", lambda x: x["part"])).otherwise(F.col("parts")), saved: F.coalesce(total, F.lit(0).cast("long"))}).drop("__new")
 
 
+def _pair(part: Column, saved: Column) -> Column:
+    return F.struct(part.alias("part"), saved.cast("long").alias("saved"))
+
+
 def _with_text(p: Column, text: Column) -> Column:
     return p.withField("out", F.when(p["out_type"].isin(*TEXT_OUTPUTS), text).otherwise(with_streams(p["out"], text)))
 
@@ -86,13 +92,15 @@ def error_pass(df: DataFrame, min_chars: int, context: int, marks: Marks = Marks
     replacement is longer; column error_removed has the savings of a message.
     """
 
-    def change(p: Column) -> tuple[Column, Column]:
-        text = output_text(p["out_type"], p["out"])
-        masked = mask_secrets(text)
-        body = errors.summary(masked, context)
-        new = errors.marked(masked, body, marks.error, marks.suffix)
-        hit = F.coalesce((p["type"] == "tool-result") & is_command_tool(p["tool"]) & (u16len(text) >= min_chars) & body.isNotNull(), F.lit(False))
-        return F.when(hit, _with_text(p, new)).otherwise(p), F.when(hit, F.greatest(u16len(text) - u16len(new), F.lit(0))).otherwise(0)
+    def change(p: Column) -> Column:
+        same = _pair(p, F.lit(0))
+        asked = (p["type"] == "tool-result") & is_command_tool(p["tool"])
+
+        def summed(text: Column) -> Column:
+            new = let(mask_secrets(text), lambda m: let(errors.summary(m, context), lambda body: errors.marked(m, body, marks.error, marks.suffix)))
+            return let(new, lambda n: F.when(n.isNotNull(), _pair(_with_text(p, n), F.greatest(u16len(text) - u16len(n), F.lit(0)))).otherwise(same))
+
+        return F.when(F.coalesce(asked, F.lit(False)), let(output_text(p["out_type"], p["out"]), lambda t: F.when(F.coalesce(u16len(t) >= min_chars, F.lit(False)), summed(t)).otherwise(same))).otherwise(same)
 
     return _rewritten(df, change, "error_removed", ["tool"])
 
@@ -105,16 +113,16 @@ def truncate_pass(df: DataFrame, max_lines: int, max_kb: int, max_input: int, ma
     """
     on = F.lit(True) if when is None else when
 
-    def change(p: Column) -> tuple[Column, Column]:
-        streams = output_text(p["out_type"], p["out"])
-        cut = truncated(streams, max_lines, max_kb, marks)
-        shorter = (p["type"] == "tool-result") & on & (u16len(cut) < u16len(streams))
-        whole = truncated(p["out"], max_lines, max_kb, marks)
-        as_text = (p["type"] == "tool-result") & on & p["out_type"].isin(*JSON_OUTPUTS) & (u16len(whole) < u16len(p["out"]))
-        preview = trimmed_input(p["input"], marks)
-        long = (p["type"] == "tool-call") & on & (u16len(p["input"]) > max_input)
-        new = F.when(shorter, _with_text(p, cut)).when(as_text, p.withField("out", whole).withField("out_type", F.lit("text"))).when(long, p.withField("input", preview)).otherwise(p)
-        saved = F.when(shorter, u16len(streams) - u16len(cut)).when(as_text, u16len(p["out"]) - u16len(whole)).when(long, u16len(p["input"]) - u16len(preview)).otherwise(0)
-        return new, saved
+    def cut(p: Column, text: Column, put, otherwise: Column) -> Column:
+        """The part with `text` truncated by `put`, if that makes it shorter."""
+        return let(text, lambda t: let(truncated(t, max_lines, max_kb, marks), lambda c: F.when(F.coalesce(u16len(c) < u16len(t), F.lit(False)), _pair(put(c), u16len(t) - u16len(c))).otherwise(otherwise)))
+
+    def change(p: Column) -> Column:
+        same = _pair(p, F.lit(0))
+        whole = F.when(p["out_type"].isin(*JSON_OUTPUTS), cut(p, p["out"], lambda c: p.withField("out", c).withField("out_type", F.lit("text")), same)).otherwise(same)
+        result = cut(p, output_text(p["out_type"], p["out"]), lambda c: _with_text(p, c), whole)
+        call = let(trimmed_input(p["input"], marks), lambda t: _pair(p.withField("input", t), u16len(p["input"]) - u16len(t)))
+        is_call = (p["type"] == "tool-call") & (u16len(p["input"]) > max_input)
+        return F.when(on & (p["type"] == "tool-result"), result).when(on & is_call, call).otherwise(same)
 
     return _rewritten(df, change, "truncate_removed", ["tool", "assistant"])

@@ -5,32 +5,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import errors
-from ..functions.text import event_text, is_command_tool, mask_secrets, safe_name, u16len
+from ..functions.text import event_text, is_command_tool, let, mask_secrets, safe_name, u16len
 from ..operators.passes import Marks
 from ..operators.sequential import FAILURES
 
 
 def rewritten(events: DataFrame, min_chars: int = 8000, context: int = 8, archive: bool = True, marks: Marks = Marks()) -> DataFrame:
-    """`events` (task, call_id, tool, raw output as JSON) with text, summary, archive_name and archive_text.
+    """`events` (task, call_id, tool, raw output as JSON) with summary, archive_name and archive_text.
 
     A map without state, for batches and streams.  summary is null where the
     event stays as it is; the archived text is the masked one.
     """
-    text = event_text(F.col("raw"))
-    masked = mask_secrets(text)
-    body = errors.summary(masked, context)
-    hit = F.coalesce(is_command_tool(F.col("tool")) & (u16len(text) >= min_chars) & body.isNotNull(), F.lit(False))
     name = F.concat(safe_name(F.col("task")), F.lit("/"), safe_name(F.col("call_id")), F.lit(".txt"))
-    suffix = F.when(F.lit(archive), F.concat(F.lit(" - full output: "), name)).otherwise(F.lit(marks.suffix))
-    marked = errors.marked(masked, body, marks.error, "")
-    at = F.instr(marked, "]\n")
-    whole = F.concat(F.substring(marked, F.lit(1), at), suffix, F.substring(marked, at + 1, F.length(marked)))
-    return events.withColumns({"text_chars": u16len(text), "summary": F.when(hit, whole), "archive_name": F.when(hit & F.lit(archive), name), "archive_text": F.when(hit & F.lit(archive), masked)})
+    suffix = F.concat(F.lit(" - full output: "), name) if archive else F.lit(marks.suffix)
+
+    def summed(masked: Column) -> Column:
+        return let(errors.summary(masked, context), lambda body: F.when(body.isNotNull(), F.struct(errors.marked(masked, body, marks.error, suffix).alias("summary"), masked.alias("masked"))))
+
+    asked = is_command_tool(F.col("tool"))
+    hit = F.when(asked, let(event_text(F.col("raw")), lambda t: F.when(u16len(t) >= min_chars, let(mask_secrets(t), summed))))
+    rows = events.withColumn("__hit", hit)
+    kept = F.when(F.lit(archive), F.col("__hit.masked"))
+    return rows.withColumns({"summary": F.col("__hit.summary"), "archive_name": F.when(kept.isNotNull(), name), "archive_text": kept}).drop("__hit")
 
 
 def gate(runs: DataFrame, limit: int = FAILURES) -> DataFrame:
