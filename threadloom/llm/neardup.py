@@ -39,7 +39,7 @@ LEAST_WEIGHT = 0.05
 #: Shingles per owner in counting, and per message.
 OWNED, MESSAGE = 2_000_000, 4_000_000
 #: Nodes of a block; pairs of blocks of a bucket are compared by one call each.
-BLOCK = 1024
+BLOCK = 512
 #: Pairs whose samples agree less often are not verified: at similarity 0.8 that happens about once in 100,000.
 AGREE = 0.5
 FILTER_BITS = 1 << 23
@@ -187,11 +187,14 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _packed(h: np.ndarray, w: np.ndarray) -> bytes:
-    return h.tobytes() + zlib.compress(w.astype("<f4").tobytes(), 1)
+    """The upper 40 bits of ascending hashes, enough to tell two documents' shingles apart, and the weights."""
+    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + zlib.compress(w.astype("<f4").tobytes(), 1)
 
 
 def _unpacked(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(blob, "<u8", n), np.frombuffer(zlib.decompress(blob[8 * n :]), "<f4").astype(float)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, 3:] = np.frombuffer(blob, np.uint8, 5 * n).reshape(n, 5)
+    return wide.view(">u8").ravel().astype(U64), np.frombuffer(zlib.decompress(blob[5 * n :]), "<f4").astype(float)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -265,26 +268,56 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, table) -> DataFr
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (bucket, size, node, root, sketch) of one bucket and different roots whose samples agree often."""
+    """Links (a, b) between members (bucket, size, node, root, sketch, n, blob) of one bucket and different roots.
+
+    Each pair of blocks of a bucket is a task of its own.  Pairs whose samples
+    agree often are verified there, those that agree most first, and pairs that
+    links found before connect are passed over; so a task gives fewer links than
+    it has members, and no row for any other pair.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch", "n", "blob")
 
     def compare(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         own, node, root = (t.column(c).to_numpy() for c in ("own", "node", "root"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u4").reshape(-1, K)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
+        found = []
         for x in left.tolist():
-            ok = ((sketch[right] == sketch[x]).mean(1) >= AGREE) & (root[right] != root[x])
+            agree = (sketch[right] == sketch[x]).sum(1)
+            near = (agree >= AGREE * K) & (root[right] != root[x])
             if i == j:
-                ok &= node[right] > node[x]
-            near = right[ok]
-            a.append(np.minimum(node[near], node[x]))
-            b.append(np.maximum(node[near], node[x]))
-        return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *a])), pa.array(np.concatenate([np.zeros(0, np.int64), *b]))], ["a", "b"])
+                near &= node[right] > node[x]
+            found.append(np.stack([agree[near], np.full(near.sum(), x), right[near]], 1))
+        found = np.concatenate([np.zeros((0, 3), np.int64), *found])
+        found = found[np.argsort(-found[:, 0], kind="stable")]
+        _, group = np.unique(root, return_inverse=True)
+        parent = list(range(len(root)))
+
+        def top(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
+        n, blob = t.column("n"), t.column("blob")
+        sets: dict[int, tuple] = {}
+        a, b = [], []
+        for _, x, y in found.tolist():
+            p, q = top(group[x]), top(group[y])
+            if p == q:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = _unpacked(blob[k].as_py(), n[k].as_py())
+            if max(similarity(sets[x], sets[y])) >= THRESHOLD:
+                parent[p] = q
+                a.append(min(node[x], node[y]))
+                b.append(max(node[x], node[y]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -335,8 +368,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
     left = attach_groups(labelled.drop("leader"), split.join(shared.select("bucket", F.col("size").alias("n")), "bucket"), "bucket", "n", total * BANDS).filter("n is not null").drop("n")
-    more = _across(left.join(nodes.select("node", "sketch"), "node")).join(pairs, ["a", "b"], "left_anti")
-    links = settle(links.union(verified(settle(more), sets)))
+    found = _across(left.join(nodes.select("node", "sketch"), "node").join(sets, "node"))
+    links = settle(links.union(found))
     roots = components(links)
     classes = nodes.select("content", "node", "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = classes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
