@@ -39,7 +39,7 @@ def truncated(text: Column, max_lines: int, max_kb: int, marks: Marks) -> Column
 
     def parts(t: Column) -> Column:
         lines = F.split(t, "\n", -1)
-        return let(lines, lambda ls: F.struct(F.size(ls).alias("n"), join(F.slice(ls, 1, head)).alias("top"), (join(F.slice(ls, F.size(ls) - tail + 1, tail)) if tail else F.lit("")).alias("bottom")))
+        return let(lines, lambda ls: F.struct(F.size(ls).alias("n"), join(F.slice(ls, 1, head)).alias("top"), (join(F.slice(ls, F.greatest(F.size(ls) - tail + 1, F.lit(1)), tail)) if tail else F.lit("")).alias("bottom")))
 
     def by_size(t: Column, n: Column, body: Column) -> Column:
         lines = F.when(n > max_lines, F.concat(n.cast("string"), F.lit(f" lines → {max_lines} lines, "))).otherwise(F.lit(""))

@@ -287,7 +287,7 @@ def error_generic(spark, d):
 
 # --- ledgers: line items as runs, with a task per supplier
 
-_RECORDS = "SELECT l_suppkey AS task, epoch_ms(l_shipdate) + l_orderkey * 10 + l_linenumber AS at, CAST(floor(l_extendedprice) AS BIGINT) AS chars_before, CAST(floor(l_extendedprice) - floor(l_extendedprice * l_discount) AS BIGINT) AS chars_after, CAST(floor(l_extendedprice * l_discount) AS BIGINT) AS saved, l_partkey % 3 = 0 AS called, l_partkey FROM lineitem"
+_RECORDS = 'SELECT l_suppkey AS task, epoch_ms(l_shipdate) + l_orderkey * 10 + l_linenumber AS "at", CAST(floor(l_extendedprice) AS BIGINT) AS chars_before, CAST(floor(l_extendedprice) - floor(l_extendedprice * l_discount) AS BIGINT) AS chars_after, CAST(floor(l_extendedprice * l_discount) AS BIGINT) AS saved, l_partkey % 3 = 0 AS called, l_partkey FROM lineitem'
 
 
 def records(spark, d) -> DataFrame:
@@ -301,19 +301,19 @@ def records(spark, d) -> DataFrame:
 
 
 @query(
-    f"WITH r AS ({_RECORDS}) SELECT count(*) AS runs, count(DISTINCT task) AS tasks, max(at) - min(at) AS span_ms, CAST(sum(chars_before) AS BIGINT) AS chars_before, CAST(sum(chars_after) AS BIGINT) AS chars_after, CAST(sum(saved) AS BIGINT) AS saved, "
+    f"WITH r AS ({_RECORDS}) SELECT count(*) AS runs, count(DISTINCT task) AS tasks, max(\"at\") - min(\"at\") AS span_ms, CAST(sum(chars_before) AS BIGINT) AS chars_before, CAST(sum(chars_after) AS BIGINT) AS chars_after, CAST(sum(saved) AS BIGINT) AS saved, "
     "CAST(floor(sum(saved) / 4.0 + 0.5) AS BIGINT) AS saved_tokens, CAST(floor(sum(saved) / count(*) + 0.5) AS BIGINT) AS mean_saved, CAST(floor(median(saved) + 0.5) AS BIGINT) AS median_saved, max(saved) AS max_saved, count(*) FILTER (called) AS summarize_calls FROM r"
 )
 def measure_summary(spark, d):
     return ledger.measure(records(spark, d))
 
 
-@query(f"WITH r AS ({_RECORDS}) SELECT task, count(*) AS runs, CAST(sum(saved) AS BIGINT) AS saved, min(at) AS first_at FROM r GROUP BY task")
+@query(f"WITH r AS ({_RECORDS}) SELECT task, count(*) AS runs, CAST(sum(saved) AS BIGINT) AS saved, min(\"at\") AS first_at FROM r GROUP BY task")
 def measure_by_task(spark, d):
     return ledger.by_task(records(spark, d))
 
 
-@query(f"WITH r AS ({_RECORDS}) SELECT task, count(*) AS runs, CAST(sum(saved) AS BIGINT) AS saved, min(at) AS first_at FROM r GROUP BY task ORDER BY saved DESC, first_at, task LIMIT 5")
+@query(f"WITH r AS ({_RECORDS}) SELECT task, count(*) AS runs, CAST(sum(saved) AS BIGINT) AS saved, min(\"at\") AS first_at FROM r GROUP BY task ORDER BY saved DESC, first_at, task LIMIT 5")
 def measure_top_tasks(spark, d):
     return ledger.top_tasks(records(spark, d))
 
@@ -321,13 +321,13 @@ def measure_top_tasks(spark, d):
 @query(
     f"WITH r AS ({_RECORDS}) SELECT task, count(*) AS passes, "
     + ", ".join(f"CAST(coalesce(sum(saved) FILTER (l_partkey % 4 = {k}), 0) AS BIGINT) AS {p}" for k, p in enumerate(ledger.PASSES))
-    + ", CAST(sum(chars_before) AS BIGINT) AS chars_before, CAST(sum(chars_after) AS BIGINT) AS chars_after, count(*) FILTER (called) AS summarize_calls, max(CASE WHEN called THEN 'local' END) AS last_summarizer, max(at) AS last_run_at FROM r GROUP BY task"
+    + ", CAST(sum(chars_before) AS BIGINT) AS chars_before, CAST(sum(chars_after) AS BIGINT) AS chars_after, count(*) FILTER (called) AS summarize_calls, max(CASE WHEN called THEN 'local' END) AS last_summarizer, max(\"at\") AS last_run_at FROM r GROUP BY task"
 )
 def task_stats_rollup(spark, d):
     return ledger.task_stats(records(spark, d))
 
 
-@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY at) AS n, sum(saved) OVER (PARTITION BY task ORDER BY at ROWS UNBOUNDED PRECEDING) AS s, sum(chars_before) OVER (PARTITION BY task ORDER BY at ROWS UNBOUNDED PRECEDING) AS b FROM (SELECT * FROM ({_RECORDS}) QUALIFY count(*) OVER (PARTITION BY task, at) = 1)) SELECT task, at, n AS passes_so_far, CAST(s AS BIGINT) AS saved_so_far, CAST(b AS BIGINT) AS before_so_far FROM r")
+@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY \"at\") AS n, sum(saved) OVER (PARTITION BY task ORDER BY \"at\" ROWS UNBOUNDED PRECEDING) AS s, sum(chars_before) OVER (PARTITION BY task ORDER BY \"at\" ROWS UNBOUNDED PRECEDING) AS b FROM (SELECT * FROM ({_RECORDS}) QUALIFY count(*) OVER (PARTITION BY task, \"at\") = 1)) SELECT task, \"at\", n AS passes_so_far, CAST(s AS BIGINT) AS saved_so_far, CAST(b AS BIGINT) AS before_so_far FROM r")
 def task_stats_running(spark, d):
     r = records(spark, d)
     alone = r.groupBy("task", "at").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
@@ -443,7 +443,7 @@ def failure_gate(spark, d):
 
 
 def _throttle_sql(op: str, gap: int, due: str) -> str:
-    return f"WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS at, {due} AS due, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts)) AS k FROM events), g AS (SELECT user_id, event_id, k, due AS emitted, CASE WHEN due THEN at END AS last FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, due AND (last IS NULL OR at - last {op} {gap}), CASE WHEN due AND (last IS NULL OR at - last {op} {gap}) THEN at ELSE last END FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1) SELECT event_id, emitted FROM g"
+    return f"WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS t, {due} AS due, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts)) AS k FROM events), g AS (SELECT user_id, event_id, k, due AS emitted, CASE WHEN due THEN t END AS last FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, due AND (last IS NULL OR t - last {op} {gap}), CASE WHEN due AND (last IS NULL OR t - last {op} {gap}) THEN t ELSE last END FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1) SELECT event_id, emitted FROM g"
 
 
 def _timed(spark, d):
