@@ -118,7 +118,7 @@ def session():
         chat += [said("user", f"Requirement {k + 1}: adjust the {topic} part."), said("assistant", f"Understood. I will change the {topic} module and run the checks.")]
         chat += tool("power---file-read", {"filePath": f"src/{name}"}, READ) + run() + [said("assistant", f"Done with {topic}; tests green.")]
     chat += [said("user", "Add strict typing and fix the compile errors."), *tool("power---bash", {"command": "npx tsc --noEmit --no-color"}, BUILD)]
-    chat += [said("user", "Re-run the suite to confirm nothing broke."), *run(), *run(), said("user", "Export the final CSV with discounts applied.")]
+    chat += [said("user", "Re-run the suite to confirm nothing snaps."), *run(), *run(), said("user", "Export the final CSV with discounts applied.")]
     chat += tool("power---grep", {"pattern": "exportCsv", "filePattern": "src/**/*.ts"}, "src/export.ts:42: export function exportCsv()") + run()
     chat += [said("user", "Also document the API in README."), *tool("power---file-read", {"filePath": "README.md"}, READ), said("assistant", "Adding the endpoint list to README now.")]
     return chat
