@@ -45,6 +45,15 @@ def _unz(b: bytes, kind: str, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(b, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers below 2**32, their bytes of equal weight together, the lowest first."""
+    return _z(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _unplanes(b: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(_unz(b, "u1", 4 * n).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
 def ef_encode(values: np.ndarray) -> bytes:
     """Ascending values from 0: low bits packed, high bits as a unary bit vector."""
     n = len(values)
@@ -85,6 +94,7 @@ class Trie:
         self.lengths, self.bound = [len(p) for p in parts], bound
         self.map = mmap.mmap(-1, max(1, sum(self.lengths)))
         self.map.write(b"".join(parts))
+        self.opened: dict[int, np.ndarray] = {}
 
     @staticmethod
     def of_bytes(data: bytes) -> Trie:
@@ -92,15 +102,19 @@ class Trie:
         *t.lengths, t.bound = np.frombuffer(data, "<i8", 5).tolist()
         t.map = mmap.mmap(-1, max(1, len(data) - 40))
         t.map.write(data[40:])
+        t.opened = {}
         return t
 
     def to_bytes(self) -> bytes:
         return np.array([*self.lengths, self.bound], "<i8").tobytes() + self.map[: sum(self.lengths)]
 
     def level(self, k: int) -> np.ndarray:
-        at = sum(self.lengths[:k])
-        part = memoryview(self.map)[at : at + self.lengths[k]]
-        return np.frombuffer(part, np.uint8) if k == 3 else ef_decode(part)
+        """Contexts, starts, successors or values; a level is opened once."""
+        if k not in self.opened:
+            at = sum(self.lengths[:k])
+            part = memoryview(self.map)[at : at + self.lengths[k]]
+            self.opened[k] = np.frombuffer(part, np.uint8) if k == 3 else ef_decode(part)
+        return self.opened[k]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Contexts, starts, successors and values."""
@@ -119,14 +133,17 @@ class Trie:
 
 
 def _blocks(docs: DataFrame, held: str) -> DataFrame:
-    """block, docs, held, sizes, vocab, counts, tokens: texts as numbers of the block's own ascending word hashes."""
+    """block, docs, held, sizes, vocab, counts, tokens, often: texts as numbers of words, and each number's place among the block's ascending word hashes."""
 
     def block(ids, out, sizes, hashes):
         h, size, out = np.concatenate(hashes), np.concatenate(sizes), np.array(out, bool)
         vocab, tokens = np.unique(h, return_inverse=True)
         counts = np.bincount(tokens[~np.repeat(out, size)], minlength=len(vocab)).astype("<u4")
-        arrays = [pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (out.astype(np.uint8).tobytes(), size.astype("<u4").tobytes(), ef_words(vocab), _z(counts), _z(tokens.astype("<u4"))))]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array([len(vocab)]), pa.array([len(tokens)])], ["docs", "held", "sizes", "vocab", "counts", "tokens", "n_vocab", "n_tokens"])
+        often = np.argsort(-np.bincount(tokens, minlength=len(vocab)), kind="stable")  # frequent words get small numbers
+        number = np.empty(len(vocab), np.int64)
+        number[often] = np.arange(len(vocab))
+        arrays = [pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (out.astype(np.uint8).tobytes(), size.astype("<u4").tobytes(), ef_words(vocab), _z(counts), _planes(number[tokens]), _planes(often)))]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([len(vocab)]), pa.array([len(tokens)])], ["docs", "held", "sizes", "vocab", "counts", "tokens", "often", "n_vocab", "n_tokens"])
 
     def run(batches):
         ids, out, sizes, hashes, total = [], [], [], [], 0
@@ -148,7 +165,7 @@ def _blocks(docs: DataFrame, held: str) -> DataFrame:
         if ids:
             yield block(ids, out, sizes, hashes)
 
-    rows = docs.select("doc_id", "text", F.coalesce(F.col(held), F.lit(False)).alias("held")).mapInArrow(run, "docs array<long>, held binary, sizes binary, vocab binary, counts binary, tokens binary, n_vocab long, n_tokens long")
+    rows = docs.select("doc_id", "text", F.coalesce(F.col(held), F.lit(False)).alias("held")).mapInArrow(run, "docs array<long>, held binary, sizes binary, vocab binary, counts binary, tokens binary, often binary, n_vocab long, n_tokens long")
     return settle(rows.withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -215,7 +232,10 @@ def _sharded(key: np.ndarray, ids: np.ndarray, counts: np.ndarray, shards: int,
     v, w = ids[key >> 32], ids[key & 0xFFFFFFFF]
     spread = counts[key >> 32] > heavy
     shard = (mix(v.astype(U64) * U64(2) + U64(1) ^ np.where(spread, mix(w.astype(U64) + U64(1)), U64(0))) % U64(shards)).astype(np.int64)
-    order = np.lexsort((w, v, shard))
+    rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # the order of (v, w) by the block's own ranks
+    pair = rank[key >> 32] << 32 | rank[key & 0xFFFFFFFF]
+    order = np.argsort(pair, kind="stable")
+    order = order[np.argsort(shard[order].astype(np.uint16 if shards < 1 << 16 else np.int64), kind="stable")]
     return shard[order], v[order], w[order], order
 
 
@@ -239,7 +259,7 @@ def score(docs: DataFrame, held: str = "held_out", id_col: str = "doc_id", text_
 
     def opened(t: pa.Table, answers: pa.Table):
         row = {c: t.column(c)[0].as_py() for c in t.column_names}
-        tokens = _unz(row["tokens"], "<u4", row["n_tokens"]).astype(np.int64)
+        tokens = _unplanes(row["often"], row["n_vocab"])[_unplanes(row["tokens"], row["n_tokens"])]
         sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
         ids, counts = _known(list(zip(*(answers.column(c).to_pylist() for c in ("owner", "ids", "counts")))), owners)
         end = int(tokens[sizes[0] - 1])
@@ -256,7 +276,7 @@ def score(docs: DataFrame, held: str = "held_out", id_col: str = "doc_id", text_
         out = []
         for i, j in zip(first, [*first[1:], len(shard)]):
             contexts, starts = np.unique(v[i:j], return_index=True)
-            trie = Trie(contexts, np.append(starts, j - i), w[i:j], np.minimum(n[i:j], 255))
+            trie = Trie(contexts, np.append(starts, j - i), w[i:j], np.zeros(0))
             out.append((trie.to_bytes(), _z(n[i:j].astype("<u4")), _z(c[i:j][starts].astype("<i8"))))
         return pa.table([pa.array(who), pa.array([row["block"]] * len(who), pa.int64()), *(pa.array(list(x), pa.binary()) for x in zip(*out))], ["shard", "block", "trie", "n", "c"])
 
@@ -269,13 +289,13 @@ def score(docs: DataFrame, held: str = "held_out", id_col: str = "doc_id", text_
         total[where] = totals
         number = np.repeat(where, np.concatenate([np.diff(a[1]) for a in asked]))
         successor = np.concatenate([a[2] for a in asked])
-        order = np.lexsort((successor, number))
-        number, successor, counts = number[order], successor[order], counts[order]
-        new = np.ones(len(number), bool)
-        new[1:] = (number[1:] != number[:-1]) | (successor[1:] != successor[:-1])
-        first = np.flatnonzero(new)
+        bound = int(successor.max()) + 1
+        key = number * bound + successor  # in 63 bits, as the tries that were sent are
+        order = np.argsort(key, kind="stable")
+        key, counts = key[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.add.reduceat(counts, first)
-        number, successor = number[first], successor[first]
+        number, successor = np.divmod(key[first], bound)
         share = n / (total[number] + MU)
         code = np.where(n > 0, np.minimum(np.round(-STEPS * np.log10(np.maximum(share, 1e-30))), ABSENT - 1), ABSENT).astype(np.uint8)
         there = n > 0
@@ -305,11 +325,11 @@ def score(docs: DataFrame, held: str = "held_out", id_col: str = "doc_id", text_
         )
 
     plain = unigrams.select("block", "owner", "ids", "counts")
-    asked = blocks.select("block", "held", "sizes", "tokens", "n_tokens").groupBy("block").cogroup(plain.groupBy("block")).applyInArrow(ask, "shard long, block long, trie binary, n binary, c binary")
+    asked = blocks.select("block", "held", "sizes", "tokens", "often", "n_vocab", "n_tokens").groupBy("block").cogroup(plain.groupBy("block")).applyInArrow(ask, "shard long, block long, trie binary, n binary, c binary")
     found = settle(asked.groupBy("shard").applyInArrow(answer, "block long, shard long, codes binary"))
     null = F.lit(None).cast("binary")
     both = plain.withColumn("codes", null).unionByName(found.select("block", F.col("shard").alias("owner"), null.alias("ids"), null.alias("counts"), "codes"))
-    out = blocks.select("block", "docs", "held", "sizes", "tokens", "n_tokens").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = blocks.select("block", "docs", "held", "sizes", "tokens", "often", "n_vocab", "n_tokens").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out
 
 
