@@ -493,13 +493,19 @@ def pipeline_report(spark, d):
     return report.select("conv_id", "n_before", "chars_before", "chars_after", "structural_removed", "error_removed", "truncate_removed", "touched")
 
 
-@query()
+@query(
+    "SELECT 'run' AS kind, CAST(conv_id AS VARCHAR) AS task, CAST(0 AS BIGINT) AS \"at\", chars_before, chars_after, chars_before - chars_after AS saved, structural_removed AS structural, error_removed AS error, truncate_removed AS truncate, "
+    f"CAST(0 AS BIGINT) AS summarize, CAST(0 AS INTEGER) AS summarize_calls, 'none' AS summarizer FROM ({ORACLE['pipeline_report']}) r WHERE touched"
+)
 def run_records(spark, d):
     _, report, _ = compact(document_chats(spark, d), _SETTINGS)
     return ledger.run_records(report, F.lit(0))
 
 
-@query()
+@query(
+    f"SELECT conv_id, CAST(m.pos AS INTEGER) AS pos, m.role, CAST(CASE WHEN m.pos = 2 THEN chars_after - 24 ELSE m.n END AS BIGINT) AS chars FROM ({ORACLE['pipeline_report']}) r, "
+    "(VALUES (0, 'user', 5), (1, 'assistant', 7), (2, 'tool', 0), (3, 'assistant', 4), (4, 'user', 5), (5, 'user', 3)) m(pos, role, n)"
+)
 def compacted_messages(spark, d):
     out, _, _ = compact(document_chats(spark, d), _SETTINGS)
     return out.select("conv_id", "pos", "role", region.chars(F.col("kind"), F.col("text"), F.col("parts")).alias("chars"))
