@@ -5,8 +5,8 @@ kept; all but the last return the columns of `docs`.  Null texts and texts
 without letters are rejected by the first stage, so later stages see none unless
 they are called by themselves.  Rows that share a doc_id share their verdicts in
 the language of filters: they go only when all of them are rejected; exact
-duplicates among them are told apart by their text, and near-duplicate removal
-leaves one row per doc_id.
+duplicates among them are told apart by their text, near duplicates by their
+words, so one row of each class stays whatever its doc_id is.
 """
 
 from __future__ import annotations
@@ -65,10 +65,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group, that with the smallest doc_id."""
-    verdicts = _verdicts(neardup.near_groups(docs))
+    rows = settle(neardup.near_rows(docs))
+    verdicts = _verdicts(rows)
     out = _without(docs, verdicts.filter("not kept or n > 1"))
     repeated = verdicts.filter("n > 1 and kept")
-    return out if repeated.isEmpty() else out.unionByName(_only(docs, repeated).dropDuplicates(["doc_id"]))
+    if repeated.isEmpty():
+        return out
+    stay = _only(rows.filter("kept"), repeated).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
+    again = neardup.content(_only(docs, repeated), "text", "__own")
+    again = again.join(stay, again["doc_id"].eqNullSafe(stay["__id"]) & (again["__own"] == stay["__content"]), "left_semi")
+    return out.unionByName(again.dropDuplicates(["doc_id", "__own"]).drop("__own"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,6 +79,14 @@ def test_near_groups_of_a_large_group(frame, prose):
     assert {tuple(sorted(m)) for m in members.values()} == classes(rows)
 
 
+def test_near_groups_keep_a_row_of_each_class(frame, prose):
+    """Null and repeated ids that hold unlike texts."""
+    near = prose(3).rsplit(" ", 1)[0] + " changed"
+    rows = [(None, prose(1)), (None, prose(2)), (None, prose(2)), (3, prose(3)), (5, near), (5, prose(4)), (5, prose(5)), (6, prose(5))]
+    got = neardup.near_groups(frame(rows)).collect()
+    assert sorted((r.class_id is None, r.class_id or 0, r.class_size, r.doc_id or 0) for r in got if r.kept) == [(False, 3, 2, 3), (False, 5, 1, 5), (False, 5, 2, 5), (True, 0, 1, 0), (True, 0, 2, 0)]
+
+
 def test_near_groups_of_nothing(frame):
     assert neardup.near_groups(frame([])).count() == 0
 

@@ -34,6 +34,16 @@ def test_stages_in_turn(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_near_dedup_keeps_a_text_of_each_class(spark, frame, prose):
+    near = prose(3).rsplit(" ", 1)[0] + " changed"
+    rows = [(None, prose(1)), (None, prose(2)), (None, prose(2).upper()), (3, prose(3)), (5, near), (5, prose(4)), (5, prose(5)), (6, prose(5)), (7, prose(6)), (7, prose(6))]
+    docs = frame(rows)
+    out = pipeline.near_dedup(spark, docs, FOLDER)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text.lower()) for r in out.collect())
+    assert got == sorted([(0, prose(1)), (0, prose(2)), (3, prose(3)), (5, prose(4)), (5, prose(5)), (7, prose(6))])
+
+
 def test_run(spark):
     got = pipeline.run(spark, FOLDER)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 0

@@ -322,15 +322,34 @@ def _across(members: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def content(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """`docs` with a column that names each text's word list, as near_rows does."""
+
+    @F.pandas_udf("binary")
+    def named(texts: pd.Series) -> pd.Series:
+        names = []
+        for _, _, buf, at in runs(pa.array(texts, pa.large_string(), from_pandas=True)):
+            names += contents(*word_lists(buf, at))
+        return pd.Series(names, dtype=object)
+
+    return docs.withColumn(name, named(F.col(text_col)))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, class_size, kept for every row of `docs`.
 
     A class is a connected set of documents of which linked ones have the
-    similarity; class_id is its smallest doc_id, and the row of that id is kept
-    (one row only where the id is repeated).  Null ids count as larger than any.
-    Texts without words, null and empty ones included, are one class; a text of
-    less than five words is a single shingle.  An empty table gives no rows.
+    similarity; class_id is its smallest doc_id, and one row of each class is
+    kept, one with that id.  Null ids count as larger than any; ids may be
+    repeated, within a class and in several.  Texts without words, null and
+    empty ones included, are one class; a text of less than five words is a
+    single shingle.  An empty table gives no rows.
     """
+    return near_rows(docs, id_col, text_col).drop("content")
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_groups with content, which names a row's word list: with doc_id it tells the kept rows of all classes apart."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -357,7 +376,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "content", "sketch", "bands"])
 
     rows = settle(docs.mapInArrow(sketch, "doc_id long, content binary, sketch binary, bands array<long>").withColumn("uid", F.monotonically_increasing_id()))
-    nodes = settle(rows.groupBy("content").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    nodes = settle(rows.groupBy("content").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("least"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = settle(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = settle(attach_groups(buckets, shared, "bucket", "size", total * BANDS).filter("size is not null"))
@@ -372,10 +391,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = settle(links.union(found))
     roots = components(links)
     classes = nodes.select("content", "node", "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = classes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = settle(attach_groups(classes, whole, "root", "class_size", total).select("content", "copies", "class_id", "class_size"))
+    whole = classes.groupBy("root").agg(F.min("least").alias("least"), F.sum("copies").alias("class_size"))
+    whole = whole.select("root", F.col("least.doc_id").alias("class_id"), F.col("least.uid").alias("keep"), "class_size")
+    classes = settle(attach_groups(classes.drop("least"), whole, "root", "class_size", total).select("content", "copies", "class_id", "class_size", "keep"))
     out = attach_groups(rows.select("doc_id", "content", "uid"), classes, "content", "copies", total)
-    first = rows.groupBy("doc_id").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("id2"), "first")
-    out = out.join(first, out.doc_id.eqNullSafe(first.id2), "left")
-    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("first").isNull() | (F.col("uid") == F.col("first")))
-    return out.select("doc_id", "class_id", "class_size", kept.alias("kept"))
+    return out.select("doc_id", "class_id", "class_size", (F.col("uid") == F.col("keep")).alias("kept"), "content")
