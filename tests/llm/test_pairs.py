@@ -87,6 +87,22 @@ def test_near_groups_keep_a_row_of_each_class(frame, prose):
     assert sorted((r.class_id is None, r.class_id or 0, r.class_size, r.doc_id or 0) for r in got if r.kept) == [(False, 3, 2, 3), (False, 5, 1, 5), (False, 5, 2, 5), (True, 0, 1, 0), (True, 0, 2, 0)]
 
 
+def test_near_groups_of_texts_alike_without_weights(frame, prose):
+    """A line repeated in one of two copies: shingles are shared, their weights are not."""
+    rows = []
+    for i in range(40):
+        w = prose(i, 300).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:100] + w[100:110] * 40 + w[110:]))]
+    got = {r.doc_id: r.class_id for r in neardup.near_groups(frame(rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_plain_samples_estimate_similarity():
+    h = neardup.mix(np.arange(60 * 300, dtype=np.uint64)).reshape(60, 300)
+    s = np.array([neardup.plain_samples(np.concatenate([x[:200], x[100:]]), np.array([0, 200, 400])) for x in h])
+    assert abs((s[:, 0] == s[:, 1]).mean() - 1 / 3) < 0.03
+
+
 def test_near_groups_of_nothing(frame):
     assert neardup.near_groups(frame([])).count() == 0
 

@@ -3,7 +3,9 @@
 A document is the weighted set of its five-word shingles, with weight tf * idf.
 Improved consistent weighted sampling draws K samples of the set, each equal for
 two documents with the probability of their weighted Jaccard similarity; bands
-of three samples give candidates, and candidates are verified on the sets.
+of three samples give candidates, and candidates are verified on the sets.  As a
+link may also come from the similarity without weights, a second family of bands
+is drawn from samples that ignore them (min-hashes).
 
 idf is ln((N + 1000) / df) / ln(1000), at most 1: shingles of up to a thousandth
 of all documents weigh alike.  So only the common ones need a table, and as the
@@ -11,8 +13,9 @@ document frequencies add up to N times a mean length L, there are fewer than
 1000 * L of them whatever N is; that table is what is broadcast.
 
 Equal word lists collapse into one node first.  In each band bucket every node
-is compared with the bucket's smallest node; then, in buckets whose nodes are
-still in several components, blocks of nodes are compared by their samples and
+is compared with the bucket's smallest node, in those of the second family if
+the first has not connected the two; then, in buckets whose nodes are still in
+several components, blocks of nodes are compared by their samples and
 pairs of different components that may be similar are verified.  No pair within
 a component is looked at, and no bucket meets in one task.
 """
@@ -25,7 +28,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, attach_groups, lower_ascii, mix, prepare, runs, settle, shingle_hashes, span_hashes, spans
@@ -34,13 +37,16 @@ from .exact import golomb, ungolomb
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 K = BANDS * ROWS
+#: The samples without weights; a band has four, as common lines weigh fully here and would fill buckets of three.
+PLAIN_BANDS, PLAIN_ROWS = 16, 4
+PLAIN_K = PLAIN_BANDS * PLAIN_ROWS
 COMMON = 1000
 LEAST_WEIGHT = 0.05
 #: Shingles per owner in counting, and per message.
 OWNED, MESSAGE = 2_000_000, 4_000_000
 #: Nodes of a block; pairs of blocks of a bucket are compared by one call each.
 BLOCK = 512
-#: Pairs whose samples agree less often are not verified: at similarity 0.8 that happens about once in 100,000.
+#: Pairs whose samples agree less often, in both families, are not verified: at similarity 0.8 of either kind that happens about once in 100,000.
 AGREE = 0.5
 FILTER_BITS = 1 << 23
 
@@ -111,14 +117,31 @@ def samples(h: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sketch), BANDS), U64)
-    for b in range(BANDS):
-        x = np.full(len(sketch), b + 1, U64)
-        for r in range(ROWS):
-            x = mix(x * U64(0xC2B2AE3D27D4EB4F) + sketch[:, b * ROWS + r])
-        out[:, b] = x
-    return out.view(np.int64)
+def plain_samples(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """PLAIN_K samples of 32 bits for each row of elements, whatever they weigh; rows must not be empty."""
+    out = np.zeros((len(at) - 1, PLAIN_K), np.uint32)
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + 32768, "right")) - 1)
+        part, begin = h[at[i] : at[j]], at[i:j] - at[i]
+        for k in range(0, PLAIN_K, 2):
+            x = mix(part ^ U64((K + k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            out[i:j, k] = np.minimum.reduceat((x >> U64(32)).astype(np.uint32), begin)
+            out[i:j, k + 1] = np.minimum.reduceat(x.astype(np.uint32), begin)
+        i = j
+    return out
+
+
+def sketches(h: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The samples of both families, 16 bits of each: enough to tell them apart, as pairs are verified on the sets."""
+    return np.concatenate([samples(h, weight, at), plain_samples(h, at)], axis=1).astype("<u2")
+
+
+def _bands(family: int) -> Column:
+    """Bucket keys of a node's weighted (0) or plain (1) samples."""
+    bands, rows, skip = ((BANDS, ROWS, 0), (PLAIN_BANDS, PLAIN_ROWS, K))[family]
+    cuts = [F.xxhash64(F.lit(family * BANDS + b), F.substring("sketch", 2 * (skip + b * rows) + 1, 2 * rows)) for b in range(bands)]
+    return F.explode(F.when(F.col("sketch").isNotNull(), F.array(*cuts)))
 
 
 def common_shingles(docs: DataFrame, total: int, volume: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,16 +306,18 @@ def _across(members: DataFrame) -> DataFrame:
     def compare(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         own, node, root = (t.column(c).to_numpy() for c in ("own", "node", "root"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u4").reshape(-1, K)
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, K + PLAIN_K)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        others = sketch[right]
         found = []
         for x in left.tolist():
-            agree = (sketch[right] == sketch[x]).sum(1)
-            near = (agree >= AGREE * K) & (root[right] != root[x])
+            same = others == sketch[x]
+            agree = np.maximum(same[:, :K].mean(1), same[:, K:].mean(1))
+            near = (agree >= AGREE) & (root[right] != root[x])
             if i == j:
                 near &= node[right] > node[x]
             found.append(np.stack([agree[near], np.full(near.sum(), x), right[near]], 1))
-        found = np.concatenate([np.zeros((0, 3), np.int64), *found])
+        found = np.concatenate([np.zeros((0, 3)), *found])
         found = found[np.argsort(-found[:, 0], kind="stable")]
         _, group = np.unique(root, return_inverse=True)
         parent = list(range(len(root)))
@@ -306,7 +331,7 @@ def _across(members: DataFrame) -> DataFrame:
         n, blob = t.column("n"), t.column("blob")
         sets: dict[int, tuple] = {}
         a, b = [], []
-        for _, x, y in found.tolist():
+        for x, y in found[:, 1:].astype(np.int64).tolist():
             p, q = top(group[x]), top(group[y])
             if p == q:
                 continue
@@ -359,34 +384,42 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def sketch(batches):
         for batch in batches:
-            names, sketches, keys = [], [], []
+            names, drawn = [], []
             for _, _, buf, at in runs(batch.column(1)):
                 words, first = word_lists(buf, at)
                 names += contents(words, first)
                 h, tf, begin = shingle_sets(words, first)
                 full = np.flatnonzero(np.diff(begin))
-                s = samples(h, weights(h, tf, table.value), np.append(begin[full], len(h))) if len(full) else np.zeros((0, K), np.uint32)
-                bands = band_keys(s)
+                s = sketches(h, weights(h, tf, table.value), np.append(begin[full], len(h))) if len(full) else np.zeros((0, K + PLAIN_K), "<u2")
                 mine: list = [None] * (len(at) - 1)
-                own: list = [None] * (len(at) - 1)
-                for r, x, y in zip(full.tolist(), s, bands.tolist()):
-                    mine[r], own[r] = x.tobytes(), y
-                sketches += mine
-                keys += own
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "content", "sketch", "bands"])
-
-    rows = settle(docs.mapInArrow(sketch, "doc_id long, content binary, sketch binary, bands array<long>").withColumn("uid", F.monotonically_increasing_id()))
-    nodes = settle(rows.groupBy("content").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("least"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = settle(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+                for r, x in zip(full.tolist(), s):
+                    mine[r] = x.tobytes()
+                drawn += mine
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(drawn, pa.binary())], ["doc_id", "content", "sketch"])
+
+    rows = settle(docs.mapInArrow(sketch, "doc_id long, content binary, sketch binary").withColumn("uid", F.monotonically_increasing_id()))
+    nodes = settle(rows.groupBy("content").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("least"), F.first("sketch").alias("sketch")))
+
+    def bucketed(family: int) -> tuple[DataFrame, DataFrame]:
+        buckets = nodes.select("node", _bands(family).alias("bucket"))
+        return buckets, settle(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+
+    (buckets, shared), (plain_buckets, plain_shared) = bucketed(0), bucketed(1)
     members = settle(attach_groups(buckets, shared, "bucket", "size", total * BANDS).filter("size is not null"))
+    plain = settle(attach_groups(plain_buckets, plain_shared, "bucket", "size", total * PLAIN_BANDS).filter("size is not null"))
+    every = members.unionByName(plain)
     pairs = settle(members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    sets = _sets(docs, nodes, members, table)
+    sets = _sets(docs, nodes, every, table)
     links = settle(verified(pairs, sets))
     roots = components(links)
-    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    top = plain_shared.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").select("bucket", "size", F.coalesce("leader_root", "leader").alias("leader_root"))
+    apart = attach_groups(plain.drop("size"), top, "bucket", "size", total * PLAIN_BANDS).join(roots, "node", "left").filter(F.coalesce("root", "node") != F.col("leader_root"))
+    pairs = settle(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    links = settle(links.union(verified(pairs, sets)))
+    roots = components(links)
+    labelled = every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    left = attach_groups(labelled.drop("leader"), split.join(shared.select("bucket", F.col("size").alias("n")), "bucket"), "bucket", "n", total * BANDS).filter("n is not null").drop("n")
+    left = attach_groups(labelled.drop("leader"), split.join(shared.union(plain_shared).select("bucket", F.col("size").alias("n")), "bucket"), "bucket", "n", total * (BANDS + PLAIN_BANDS)).filter("n is not null").drop("n")
     found = _across(left.join(nodes.select("node", "sketch"), "node").join(sets, "node"))
     links = settle(links.union(found))
     roots = components(links)
