@@ -102,3 +102,11 @@ def test_epoch_is_independent_of_zone(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'1970-01-02 00:00:00' AS ts")
     assert df.select(epoch_ms("ts").alias("m")).first().m == 86_400_000
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_running_stats_of_equal_times(spark):
+    from threadloom.operators import ledger
+
+    rows = [("a", 5, n, 10**n, 1) for n in (3, 1, 4, 2, 0)]
+    got = ledger.running_stats(spark.createDataFrame(rows, "task string, at long, line long, saved long, chars_before long"), "line").collect()
+    assert {r.line: (r.passes_so_far, r.saved_so_far) for r in got} == {n: (n + 1, int("1" * (n + 1))) for n in range(5)}

@@ -48,9 +48,9 @@ def task_stats(records: DataFrame) -> DataFrame:
     return records.groupBy("task").agg(F.count(F.lit(1)).alias("passes"), *(F.sum(p).alias(p) for p in PASSES), F.sum("chars_before").alias("chars_before"), F.sum("chars_after").alias("chars_after"), F.sum("summarize_calls").alias("summarize_calls"), F.max_by("summarizer", F.when(F.col("summarizer") != "none", F.col("at"))).alias("last_summarizer"), F.max("at").alias("last_run_at"))
 
 
-def running_stats(records: DataFrame) -> DataFrame:
-    """Each record with its task's totals so far."""
-    w = W.partitionBy("task").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+def running_stats(records: DataFrame, *position: str) -> DataFrame:
+    """Each record with its task's totals so far; `position` names the columns that order records of equal time."""
+    w = W.partitionBy("task").orderBy("at", *position).rowsBetween(W.unboundedPreceding, 0)
     return records.withColumns({"passes_so_far": F.count(F.lit(1)).over(w), "saved_so_far": F.sum("saved").over(w), "before_so_far": F.sum("chars_before").over(w)})
 
 
