@@ -7,10 +7,12 @@ whole run are found by a few array operations instead of a loop over words.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -24,13 +26,45 @@ U64 = np.uint64
 
 #: Rows of a key that holds this share of all rows or more are joined by broadcast; there can be HOT of them at most.
 HOT = 1000
+#: Bytes of text that helpers look at together, and entries of the tables that hashing keeps.
+RUN = 1 << 18
+TABLE = 1 << 20
+_KEPT: list[Callable[[], None]] = []
+
+
+def kept_by_workers(clear: Callable[[], None]) -> None:
+    """Name a function that empties what a module keeps in a worker between batches."""
+    _KEPT.append(clear)
+
+
+def release() -> None:
+    """Give a worker's memory back: what modules keep, Arrow's free blocks and the allocator's."""
+    for clear in _KEPT:
+        clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """`run` over batches, and release() when its input ends: workers live longer than tasks, and must not grow from one to the next."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
 
 
 def prepare(spark: SparkSession) -> str:
     """Let Python workers import this package and name a checkpoint folder.
 
-    The folder of spark.checkpoint.dir is taken where the session has one; only
-    where it is unset, as in tests, a temporary one is made.
+    The folder of spark.checkpoint.dir is taken where the session has one; where
+    it is unset a temporary one is made, which is possible on a local master only.
     """
     sc = spark.sparkContext
     paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
@@ -38,6 +72,8 @@ def prepare(spark: SparkSession) -> str:
         sc.environment["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="threadloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -54,8 +90,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Left join of `rows` to one row per key, safe where one key holds most rows.
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
+    """Join of `rows` to one row per key, safe where one key holds most rows; `how` is left or inner.
 
     A key with total/HOT rows or more is hot; as sizes add up to `total`, there
     are HOT such keys at most, so that part is broadcast and its rows stay where
@@ -65,8 +101,9 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     hot = F.broadcast(groups.filter(F.col(size) >= limit))
     cold = groups.filter(F.col(size) < limit)
     here = rows.join(hot, key, "inner")
-    there = rows.join(F.broadcast(groups.filter(F.col(size) >= limit).select(key)), key, "left_anti").join(cold, key, "left")
-    return here.unionByName(there)
+    if how == "left":
+        rows = rows.join(F.broadcast(groups.filter(F.col(size) >= limit).select(key)), key, "left_anti")
+    return here.unionByName(rows.join(cold, key, how))
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +119,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf[at[0] : at[-1]], at - at[0]
 
 
-def runs(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(column: pa.Array, limit: int = RUN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of about `limit` bytes; a longer text is a run of its own."""
     buf, at = flat(column)
     i, n = 0, len(at) - 1
@@ -127,17 +164,23 @@ _VALUE = mix(np.arange(1, 257, dtype=U64))
 _POWERS: list[np.ndarray] = []
 
 
+kept_by_workers(_POWERS.clear)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(20, n.bit_length())
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p, k = np.ones(1, U64), 1
-            while len(p) < size:
-                p, k = np.concatenate([p, p * U64(pow(base, k, 1 << 64))]), 2 * k
-            out.append(p)
+    """Powers of the base and of its inverse, n at least; only tables of up to TABLE entries are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size = 1 << max(RUN.bit_length(), n.bit_length())
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p, k = np.ones(1, U64), 1
+        while len(p) < size:
+            p, k = np.concatenate([p, p * U64(pow(base, k, 1 << 64))]), 2 * k
+        out.append(p)
+    if size <= TABLE:
         _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+    return out[0], out[1]
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

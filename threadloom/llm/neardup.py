@@ -1,23 +1,25 @@
 """Near duplicates by consistent weighted sampling (operator 1).
 
-A document is the weighted set of its five-word shingles, with weight tf * idf.
-Improved consistent weighted sampling draws K samples of the set, each equal for
-two documents with the probability of their weighted Jaccard similarity; bands
-of three samples give candidates, and candidates are verified on the sets.  As a
-link may also come from the similarity without weights, a second family of bands
-is drawn from samples that ignore them (min-hashes).
-
-idf is ln((N + 1000) / df) / ln(1000), at most 1: shingles of up to a thousandth
-of all documents weigh alike.  So only the common ones need a table, and as the
-document frequencies add up to N times a mean length L, there are fewer than
-1000 * L of them whatever N is; that table is what is broadcast.
+A document is the weighted set of its five-word shingles.  A shingle weighs
+(1 + ln tf) * idf.  Improved consistent weighted sampling draws K samples of the
+set, each equal for two documents with the probability of their weighted Jaccard
+similarity; bands of three samples give candidates, and a candidate is a link
+when the weighted Jaccard similarity of the two sets is 0.8 or more.
+
+idf falls with ln df from 1, for shingles of a thousandth of all documents and
+rarer ones, to 0.5 for one that all have, so that the text which a large group
+shares still counts.  Only the common shingles need a table.  As a document of b
+bytes has b / 2 + 1 shingles at most, less than MOST_COMMON shingles are in more
+than (bytes / 2 + N) / MOST_COMMON documents; where texts are so long that this
+is over a thousandth, it is where idf begins to fall.  So the table that is
+broadcast has a bound that neither the number nor the length of texts moves.
 
 Equal word lists collapse into one node first.  In each band bucket every node
-is compared with the bucket's smallest node, in those of the second family if
-the first has not connected the two; then, in buckets whose nodes are still in
-several components, blocks of nodes are compared by their samples and
-pairs of different components that may be similar are verified.  No pair within
-a component is looked at, and no bucket meets in one task.
+is compared with the bucket's smallest node; then, in buckets whose other nodes
+are still in several components, the nodes outside the largest component are
+compared with all others, in blocks, by their samples, and pairs that may be
+similar are verified.  No pair within a component is looked at, and no bucket
+meets in one task.
 """
 
 from __future__ import annotations
@@ -31,23 +33,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, attach_groups, lower_ascii, mix, prepare, runs, settle, shingle_hashes, span_hashes, spans
+from .common import U64, attach_groups, kept_by_workers, lower_ascii, mix, prepare, runs, settle, shingle_hashes, span_hashes, spans, tidied
 from .exact import golomb, ungolomb
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 K = BANDS * ROWS
-#: The samples without weights; a band has four, as common lines weigh fully here and would fill buckets of three.
-PLAIN_BANDS, PLAIN_ROWS = 16, 4
-PLAIN_K = PLAIN_BANDS * PLAIN_ROWS
-COMMON = 1000
-LEAST_WEIGHT = 0.05
+#: Shingles of up to a COMMONth of all documents weigh alike; there are MOST_COMMON others at most; LEAST_IDF is that of a shingle in every document.
+COMMON, MOST_COMMON, LEAST_IDF = 1000, 1_000_000, 0.5
 #: Shingles per owner in counting, and per message.
-OWNED, MESSAGE = 2_000_000, 4_000_000
+OWNED, MESSAGE = 2_000_000, 2_000_000
 #: Nodes of a block; pairs of blocks of a bucket are compared by one call each.
 BLOCK = 512
-#: Pairs whose samples agree less often, in both families, are not verified: at similarity 0.8 of either kind that happens about once in 100,000.
+#: Pairs of a leader that are verified together; its set is sent once for each such portion.
+PORTION = 4096
+#: Pairs whose samples agree less often are not verified: at similarity 0.8 that happens about once in 100,000.
 AGREE = 0.5
+#: Elements of sets that a task keeps unpacked.
+UNPACKED = 1 << 21
 FILTER_BITS = 1 << 23
 
 WORD = np.zeros(256, bool)
@@ -78,6 +81,7 @@ def shingle_sets(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 _TABLES: list[np.ndarray] = []
+kept_by_workers(_TABLES.clear)
 
 
 def _tables() -> list[np.ndarray]:
@@ -117,42 +121,26 @@ def samples(h: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def plain_samples(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """PLAIN_K samples of 32 bits for each row of elements, whatever they weigh; rows must not be empty."""
-    out = np.zeros((len(at) - 1, PLAIN_K), np.uint32)
-    i = 0
-    while i < len(at) - 1:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + 32768, "right")) - 1)
-        part, begin = h[at[i] : at[j]], at[i:j] - at[i]
-        for k in range(0, PLAIN_K, 2):
-            x = mix(part ^ U64((K + k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            out[i:j, k] = np.minimum.reduceat((x >> U64(32)).astype(np.uint32), begin)
-            out[i:j, k + 1] = np.minimum.reduceat(x.astype(np.uint32), begin)
-        i = j
-    return out
-
-
-def sketches(h: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The samples of both families, 16 bits of each: enough to tell them apart, as pairs are verified on the sets."""
-    return np.concatenate([samples(h, weight, at), plain_samples(h, at)], axis=1).astype("<u2")
+def _bands() -> Column:
+    """Bucket keys of a node's sketch: K samples of 16 bits, enough to tell them apart, as pairs are verified on the sets."""
+    cuts = [F.xxhash64(F.lit(b), F.substring("sketch", 2 * b * ROWS + 1, 2 * ROWS)) for b in range(BANDS)]
+    return F.explode(F.when(F.col("sketch").isNotNull(), F.array(*cuts)))
 
 
-def _bands(family: int) -> Column:
-    """Bucket keys of a node's weighted (0) or plain (1) samples."""
-    bands, rows, skip = ((BANDS, ROWS, 0), (PLAIN_BANDS, PLAIN_ROWS, K))[family]
-    cuts = [F.xxhash64(F.lit(family * BANDS + b), F.substring("sketch", 2 * (skip + b * rows) + 1, 2 * rows)) for b in range(bands)]
-    return F.explode(F.when(F.col("sketch").isNotNull(), F.array(*cuts)))
+def rare(total: int, volume: int) -> float:
+    """Up to how many documents a shingle is in when its idf is 1, for `total` documents of `volume` bytes."""
+    return max((total + COMMON) / COMMON, (volume / 2 + total) / MOST_COMMON)
 
 
 def common_shingles(docs: DataFrame, total: int, volume: int) -> tuple[np.ndarray, np.ndarray]:
-    """The upper 48 bits of shingles of more than (N + 1000) / 1000 documents, ascending, and their idf.
+    """The upper 48 bits of shingles of more than rare() documents, ascending, and their idf.
 
     Every shingle of every document is counted: partitions send owners of hash
     ranges their sorted distinct shingles, Golomb-coded, with their counts.
     """
     owners = max(2, -(-volume // (6 * OWNED)))
     span = -(-(1 << 48) // owners)
-    least = (total + COMMON) / COMMON
+    least = rare(total, volume)
 
     def message(held):
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -162,6 +150,7 @@ def common_shingles(docs: DataFrame, total: int, volume: int) -> tuple[np.ndarra
         tallies = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in np.split(counts, first[1:])]
         return pa.RecordBatch.from_arrays([pa.array(who), pa.array(blobs, pa.binary()), pa.array(tallies, pa.binary())], ["owner", "blob", "counts"])
 
+    @tidied
     def send(batches):
         held, size = [], 0
         for batch in batches:
@@ -190,23 +179,25 @@ def common_shingles(docs: DataFrame, total: int, volume: int) -> tuple[np.ndarra
     found = sent.groupBy("owner").applyInArrow(count, "key long, df long").toPandas()
     keys, df = found["key"].to_numpy().astype(U64), found["df"].to_numpy().astype(float)
     order = np.argsort(keys)
-    return keys[order], np.maximum(np.log((total + COMMON) / df[order]) / np.log(COMMON), LEAST_WEIGHT)
+    fall = np.log(df[order] / least) / max(np.log(max(total, 1) / least), 1e-9)
+    return keys[order], 1 - (1 - LEAST_IDF) * np.minimum(fall, 1)
 
 
 def weights(h: np.ndarray, tf: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     keys, idf = table
+    w = 1 + np.log(tf)
     if not len(keys):
-        return tf.astype(float)
+        return w
     key = h >> U64(16)
     place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return tf * np.where(keys[place] == key, idf[place], 1.0)
+    return w * np.where(keys[place] == key, idf[place], 1.0)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Weighted Jaccard similarity of two weighted sets, and that of the sets without weights."""
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two weighted sets."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     shared = np.minimum(a[1][i], b[1][j]).sum()
-    return float(shared / max(a[1].sum() + b[1].sum() - shared, 1e-12)), len(i) / max(len(a[0]) + len(b[0]) - len(i), 1)
+    return float(shared / max(a[1].sum() + b[1].sum() - shared, 1e-12))
 
 
 def _packed(h: np.ndarray, w: np.ndarray) -> bytes:
@@ -221,12 +212,13 @@ def _unpacked(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of `pairs` that are similar by their `sets` (node, n, blob).
+    """The (a, b) of `pairs` whose `sets` (node, n, blob) have the similarity.
 
-    Similar: weighted Jaccard of THRESHOLD, or as much without weights, which is
-    what decides in a large group of copies where their common text weighs little.
+    A node that is the `a` of many pairs has its set sent once for every PORTION
+    of them, so no task gets all of its partners.
     """
 
+    @tidied
     def run(batches):
         last = (None, None)
         for t in batches:
@@ -235,17 +227,29 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for a, n, x, m, y in zip(c[0], c[2], c[3], c[4], c[5]):
                 if last[0] != a:
                     last = (a, _unpacked(x, n))
-                ok.append(max(similarity(last[1], _unpacked(y, m))) >= THRESHOLD)
+                ok.append(similarity(last[1], _unpacked(y, m)) >= THRESHOLD)
             yield pa.RecordBatch.from_arrays(t.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("blob").alias("blob_a"))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("int").alias("portions")).filter("portions > 1")
+    dealt = pairs.join(hubs, "a", "left").withColumn("portion", F.coalesce(F.pmod(F.xxhash64("b"), F.col("portions")).cast("int"), F.lit(0)))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("blob").alias("blob_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "blob_a", "n_b", "blob_b").mapInArrow(run, "a long, b long")
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("blob").alias("blob_a")).join(hubs, "a", "left")
+    left = left.withColumn("portion", F.explode(F.sequence(F.lit(0), F.coalesce("portions", F.lit(1)) - 1)))
+    both = dealt.drop("portions").join(right, "b").join(left, ["a", "portion"])
+    return both.select("a", "b", "n_a", "blob_a", "n_b", "blob_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of `edges` (a, b) is connected with."""
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    """node, root: the smallest node that each node of `edges` (a, b) is connected with.
+
+    Labels go along edges and jump to their own label's label, so the number of
+    rounds is a logarithm of the longest path.  All rows are a few numbers; where
+    a node has very many edges, adaptive execution splits its part of a join.
+    """
+    edges = settle(edges.select("a", "b"))
+    both = settle(edges.union(edges.select("b", "a")).distinct())
+    if both.isEmpty():
+        return both.toDF("node", "root")
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
@@ -268,6 +272,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, table) -> DataFr
         bits[r.block * 4096 : (r.block + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
+    @tidied
     def read(batches):
         import xxhash
 
@@ -291,36 +296,38 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, table) -> DataFr
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Links (a, b) between members (bucket, size, node, root, sketch, n, blob) of one bucket and different roots.
+    """Links (a, b) between the roots of members (bucket, main, many, few, node, root, sketch, n, blob) of one bucket.
 
-    Each pair of blocks of a bucket is a task of its own.  Pairs whose samples
-    agree often are verified there, those that agree most first, and pairs that
-    links found before connect are passed over; so a task gives fewer links than
-    it has members, and no row for any other pair.
+    The `few` members whose root isn't the bucket's main one are held against
+    each other and against the `many` others, a pair of blocks at a time.  Pairs
+    whose samples agree often are verified there, those that agree most first,
+    and pairs that links found before connect are passed over; so a call gives
+    fewer links than it has members, and no row for any other pair.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch", "n", "blob")
+    first, second = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("few", "many"))
+    mine = F.col("root") != F.col("main")
+    own = F.when(mine, F.pmod(F.xxhash64("node"), first)).otherwise(first + F.pmod(F.xxhash64("node"), second)).cast("int")
+    dealt = members.withColumns({"own": own, "first": first, "all": first + second})
+    other = F.explode(F.when(F.col("own") < F.col("first"), F.sequence(F.lit(0), F.col("all") - 1)).otherwise(F.sequence(F.lit(0), F.col("first") - 1)))
+    dealt = dealt.withColumn("other", other).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch", "n", "blob")
 
     def compare(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         own, node, root = (t.column(c).to_numpy() for c in ("own", "node", "root"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, K + PLAIN_K)
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, K)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         others = sketch[right]
         found = []
         for x in left.tolist():
-            same = others == sketch[x]
-            agree = np.maximum(same[:, :K].mean(1), same[:, K:].mean(1))
+            agree = (others == sketch[x]).mean(1)
             near = (agree >= AGREE) & (root[right] != root[x])
             if i == j:
                 near &= node[right] > node[x]
             found.append(np.stack([agree[near], np.full(near.sum(), x), right[near]], 1))
         found = np.concatenate([np.zeros((0, 3)), *found])
         found = found[np.argsort(-found[:, 0], kind="stable")]
-        _, group = np.unique(root, return_inverse=True)
-        parent = list(range(len(root)))
+        names, group = np.unique(root, return_inverse=True)
+        parent = list(range(len(names)))
 
         def top(g: int) -> int:
             while parent[g] != g:
@@ -328,20 +335,23 @@ def _across(members: DataFrame) -> DataFrame:
                 g = parent[g]
             return g
 
-        n, blob = t.column("n"), t.column("blob")
+        n, blob = t.column("n").to_pylist(), t.column("blob")
         sets: dict[int, tuple] = {}
-        a, b = [], []
+        held, a, b = 0, [], []
         for x, y in found[:, 1:].astype(np.int64).tolist():
             p, q = top(group[x]), top(group[y])
             if p == q:
                 continue
+            if held > UNPACKED:
+                sets, held = {}, 0
             for k in (x, y):
                 if k not in sets:
-                    sets[k] = _unpacked(blob[k].as_py(), n[k].as_py())
-            if max(similarity(sets[x], sets[y])) >= THRESHOLD:
+                    sets[k] = _unpacked(blob[k].as_py(), n[k])
+                    held += n[k]
+            if similarity(sets[x], sets[y]) >= THRESHOLD:
                 parent[p] = q
-                a.append(min(node[x], node[y]))
-                b.append(max(node[x], node[y]))
+                a.append(min(root[x], root[y]))
+                b.append(max(root[x], root[y]))
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
@@ -382,47 +392,41 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     total = seen["n"]
     table = spark.sparkContext.broadcast(common_shingles(docs, total, seen["bytes"]))
 
+    @tidied
     def sketch(batches):
         for batch in batches:
             names, drawn = [], []
             for _, _, buf, at in runs(batch.column(1)):
                 words, first = word_lists(buf, at)
-                names += contents(words, first)
-                h, tf, begin = shingle_sets(words, first)
-                full = np.flatnonzero(np.diff(begin))
-                s = sketches(h, weights(h, tf, table.value), np.append(begin[full], len(h))) if len(full) else np.zeros((0, K + PLAIN_K), "<u2")
-                mine: list = [None] * (len(at) - 1)
-                for r, x in zip(full.tolist(), s):
-                    mine[r] = x.tobytes()
-                drawn += mine
+                own = contents(words, first)
+                names += own
+                place = {x: r for r, x in enumerate(own) if first[r] < first[r + 1]}  # equal texts of a run are sketched once
+                rows = list(place.values())
+                size = np.diff(first)[rows]
+                begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+                h, tf, begin = shingle_sets(np.concatenate([words[:0], *(words[first[r] : first[r + 1]] for r in rows)]), begin)
+                s = samples(h, weights(h, tf, table.value), begin).astype("<u2") if rows else []
+                known = {x: s[k].tobytes() for k, x in enumerate(place)}
+                drawn += [known.get(x) for x in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(drawn, pa.binary())], ["doc_id", "content", "sketch"])
 
     rows = settle(docs.mapInArrow(sketch, "doc_id long, content binary, sketch binary").withColumn("uid", F.monotonically_increasing_id()))
     nodes = settle(rows.groupBy("content").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("least"), F.first("sketch").alias("sketch")))
-
-    def bucketed(family: int) -> tuple[DataFrame, DataFrame]:
-        buckets = nodes.select("node", _bands(family).alias("bucket"))
-        return buckets, settle(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
-
-    (buckets, shared), (plain_buckets, plain_shared) = bucketed(0), bucketed(1)
-    members = settle(attach_groups(buckets, shared, "bucket", "size", total * BANDS).filter("size is not null"))
-    plain = settle(attach_groups(plain_buckets, plain_shared, "bucket", "size", total * PLAIN_BANDS).filter("size is not null"))
-    every = members.unionByName(plain)
+    buckets = nodes.select("node", _bands().alias("bucket"))
+    shared = settle(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    members = settle(attach_groups(buckets, shared, "bucket", "size", total * BANDS, how="inner"))
     pairs = settle(members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    sets = _sets(docs, nodes, every, table)
-    links = settle(verified(pairs, sets))
-    roots = components(links)
-    top = plain_shared.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").select("bucket", "size", F.coalesce("leader_root", "leader").alias("leader_root"))
-    apart = attach_groups(plain.drop("size"), top, "bucket", "size", total * PLAIN_BANDS).join(roots, "node", "left").filter(F.coalesce("root", "node") != F.col("leader_root"))
-    pairs = settle(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links = settle(links.union(verified(pairs, sets)))
-    roots = components(links)
-    labelled = every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    left = attach_groups(labelled.drop("leader"), split.join(shared.union(plain_shared).select("bucket", F.col("size").alias("n")), "bucket"), "bucket", "n", total * (BANDS + PLAIN_BANDS)).filter("n is not null").drop("n")
+    sets = _sets(docs, nodes, members, table)
+    roots = components(verified(pairs, sets))
+    # leaders have been compared with all others of their buckets
+    rest = members.filter("node != leader").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    apart = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("many"), F.sum("n").alias("size"))
+    apart = settle(apart.filter("size > many").withColumn("few", F.col("size") - F.col("many")))
+    left = attach_groups(rest, apart, "bucket", "size", total * BANDS, how="inner").drop("size")
     found = _across(left.join(nodes.select("node", "sketch"), "node").join(sets, "node"))
-    links = settle(links.union(found))
-    roots = components(links)
+    joined = components(found)
+    new = joined.join(roots, "node", "left_anti")
+    roots = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(new)
     classes = nodes.select("content", "node", "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = classes.groupBy("root").agg(F.min("least").alias("least"), F.sum("copies").alias("class_size"))
     whole = whole.select("root", F.col("least.doc_id").alias("class_id"), F.col("least.uid").alias("keep"), "class_size")
