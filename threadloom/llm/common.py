@@ -86,6 +86,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_by(df: DataFrame, key: str) -> DataFrame:
+    """settle() with the rows dealt by `key` and sorted by it; groupings by `key` find them so and shuffle no more.
+
+    Adaptive execution is off for this one plan, as its result would not be known to be dealt so.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key).checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
