@@ -47,7 +47,9 @@ def test_language_id(spark):
 
 def test_language_id_without_labels(spark):
     docs = labelled(spark).withColumn("lang", F.lit(None).cast("string"))
-    assert {r.lang_pred for r in langid.identify(docs).collect()} == {"und"}
+    got = langid.identify(docs).collect()
+    assert {r.lang_pred for r in got} == {"und"}
+    assert all(r.rejected == (r.letters == 0) for r in got)  # nothing was calibrated
     assert langid.identify(docs.limit(0)).count() == 0
 
 

@@ -18,7 +18,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO = str(Path(__file__).resolve().parents[2])
@@ -26,6 +26,9 @@ U64 = np.uint64
 
 #: Rows of a key that holds this share of all rows or more are joined by broadcast; there can be HOT of them at most.
 HOT = 1000
+#: Bytes of a batch that goes to a Python worker, unless the session says otherwise.
+BATCH = 8 << 20
+_DEFAULT_BATCH = 64 << 20
 #: Bytes of text that helpers look at together, and entries of the tables that hashing keeps.
 RUN = 1 << 18
 TABLE = 1 << 20
@@ -61,7 +64,7 @@ def tidied(run: Callable) -> Callable:
 
 
 def prepare(spark: SparkSession) -> str:
-    """Let Python workers import this package and name a checkpoint folder.
+    """Let Python workers import this package, send them smaller batches than by default, and name a checkpoint folder.
 
     The folder of spark.checkpoint.dir is taken where the session has one; where
     it is unset a temporary one is made, which is possible on a local master only.
@@ -70,6 +73,9 @@ def prepare(spark: SparkSession) -> str:
     paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
     if REPO not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size).lower() in (str(_DEFAULT_BATCH), f"{_DEFAULT_BATCH}b", "64mb", "64m"):
+        spark.conf.set(size, str(BATCH))
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local[") and sc.master != "local":
@@ -102,6 +108,11 @@ def settle_by(df: DataFrame, key: str) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, attach_groups, flat, lower_ascii, prepare, settle
+from .common import U64, attach_groups, flat, lower_ascii, prepare, settle, tidied
 
 #: Fingerprints per owner, about.
 OWNED = 500_000
@@ -64,6 +64,7 @@ def normalised(column: pa.Array) -> list[bytes]:
 
 
 def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    @tidied
     def run(batches):
         for batch in batches:
             hashes = [hashlib.sha256(t) for t in normalised(batch.column(1))]
@@ -81,6 +82,7 @@ def suspects(digests: DataFrame, owners: int) -> DataFrame:
     def unsigned(fp: np.ndarray) -> np.ndarray:
         return fp.astype(np.int64).view(U64)
 
+    @tidied
     def send(batches):
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
@@ -143,6 +145,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bloom[r.block * 4096 : (r.block + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
     bloom = docs.sparkSession.sparkContext.broadcast(bloom.tobytes())
 
+    @tidied
     def read(batches):
         bits = np.frombuffer(bloom.value, np.uint8)
         for batch in batches:

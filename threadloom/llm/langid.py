@@ -7,7 +7,8 @@ matrix of log-probabilities with a column per language, already interpolated.
 A character costs one search of the highest order; only what isn't found there
 goes on to a lower order with the back-off weights of its context.  The language
 of the lowest cross-entropy per character is chosen; a text whose cross-entropy
-lies above the calibrated limit of its language is marked as rejected.
+lies above the calibrated limit of its language is marked as rejected.  The limit
+narrows with the square root of the text's length.
 """
 
 from __future__ import annotations
@@ -20,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, prepare, runs
+from .common import U64, column, prepare, runs, settle, tidied
 
 ORDER = 4
-#: Texts per language that models are fitted on, and as many again to calibrate rejection, about.
-SAMPLE = 1500
-#: A text is rejected above this quantile of the calibration texts' cross-entropy, plus MARGIN nats.
-QUANTILE, MARGIN = 0.999, 0.8
-#: Texts with fewer letters are too short to be rejected for their cross-entropy.
-SHORT = 20
+#: Texts and bytes per language that models are fitted on, and as many again to calibrate rejection, about; languages that are learnt, the most frequent ones.
+SAMPLE, SAMPLE_BYTES, LANGUAGES = 1500, 4 << 20, 256
+#: A text of n letters is rejected when its cross-entropy is above the language's by MARGIN nats and Z / sqrt(n), Z being
+#: this quantile of what the calibration texts need beyond half the margin.
+QUANTILE, MARGIN = 0.999, 1.2
 UNDETERMINED = "und"
 
 _KEYS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U64)
@@ -97,7 +97,14 @@ class Model:
     contexts: list[np.ndarray] = field(default_factory=list)  # by order from 1: sorted hashes of contexts (none at order 1)
     back: list[np.ndarray] = field(default_factory=list)  # log of the back-off weight
     floor: np.ndarray | None = None  # log-probability of an unknown character
-    limits: np.ndarray | None = None
+    usual: np.ndarray | None = None  # cross-entropy of calibration texts
+    needed: np.ndarray | None = None  # what they need beyond it, times the root of their lengths
+
+    def limit(self, best: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The cross-entropy above which texts of that language and length are rejected."""
+        if self.usual is None:
+            return np.full(len(best), np.inf)
+        return self.usual[best] + MARGIN + self.needed[best] / np.sqrt(np.maximum(letters, 1))
 
     def score(self, points: np.ndarray) -> np.ndarray:
         """Log-probabilities of each symbol, a column per language."""
@@ -169,6 +176,7 @@ def fit(languages: list[str], chars: np.ndarray, lang: np.ndarray, count: np.nda
 def _ngrams(docs: DataFrame) -> DataFrame:
     """lang, hi, lo, n: how often each gram of ORDER characters occurs, from columns text and lang."""
 
+    @tidied
     def run(batches):
         for batch in batches:
             names = batch.column(1).to_pylist()
@@ -189,18 +197,20 @@ def _ngrams(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows of text, lang and doc_id; about 2 * sample texts of each language are read.
+    """A model from rows of text, lang and doc_id; about 2 * sample texts of each language are read, and 2 * SAMPLE_BYTES bytes.
 
     Half of them fit the models and half set the limits of rejection.  Rows
-    without text or language teach nothing.
+    without text or language teach nothing, nor do languages beyond the LANGUAGES
+    most frequent ones.
     """
     spark = docs.sparkSession
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    languages = sorted(counts)
+    most = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    part = {r["lang"]: min(1.0, 2 * sample / r["n"], 2 * SAMPLE_BYTES / max(r["bytes"], 1)) for r in most}
+    languages = sorted(part)
     if not languages:
         return Model([])
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2 * sample / counts[k]))])[F.col("lang")]
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, part[k])])[F.col("lang")]
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1_000_000
     chosen = docs.filter(draw < share)
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0
@@ -212,10 +222,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     hi, lo = found["hi"].to_numpy(), found["lo"].to_numpy()
     chars = np.stack([hi >> 21, hi & mask, lo >> 21, lo & mask], axis=1).astype(np.uint32)
     model = fit(languages, chars, found["lang"].map(number).to_numpy(), found["n"].to_numpy())
-    model.limits = np.full(len(languages), np.inf)
-    got = predict(chosen.filter(~half).withColumnRenamed("lang", "truth"), spark.sparkContext.broadcast(model), keep=["truth"]).filter((F.col("truth") == F.col("lang_pred")) & (F.col("letters") >= SHORT))
-    for r in got.groupBy("truth").agg(F.percentile("entropy", F.lit(QUANTILE)).alias("q")).collect():
-        model.limits[number[r["truth"]]] = r["q"] + MARGIN
+    got = predict(chosen.filter(~half).withColumnRenamed("lang", "truth"), spark.sparkContext.broadcast(model), keep=["truth"])
+    got = settle(got.filter((F.col("truth") == F.col("lang_pred")) & (F.col("letters") > 0)).select("truth", "entropy", F.col("letters").cast("double").alias("n")))
+    usual = got.groupBy("truth").agg((F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("usual"))
+    excess = (F.col("entropy") - F.col("usual") - MARGIN / 2) * F.sqrt("n")
+    model.usual, model.needed = np.full(len(languages), np.inf), np.zeros(len(languages))
+    for r in got.join(F.broadcast(usual), "truth").groupBy("truth").agg(F.first("usual").alias("usual"), F.percentile(excess, F.lit(QUANTILE)).alias("needed")).collect():
+        model.usual[number[r["truth"]]], model.needed[number[r["truth"]]] = r["usual"], max(r["needed"], 0.0)
     return model
 
 
@@ -223,20 +236,25 @@ def predict(docs: DataFrame, model, keep: list[str] | None = None, text_col: str
     """Columns `keep` of `docs` with lang_pred, score, entropy (nats a character), letters and rejected, their names after `prefix`.
 
     `model` is a broadcast Model.  A null or empty text, or one without a
-    letter, is `und` with score 0, null entropy, and rejected.  The score is the
-    share of the chosen language in the likelihoods of up to 50 characters.
+    letter, is `und` with score 0, null entropy, and rejected.  Where the model
+    knows no language, every text is `und`, and those with letters are not
+    rejected, as nothing was calibrated.  The score is the share of the chosen
+    language in the likelihoods, taken per character and raised to the length of
+    up to 50 of them.  A text takes some 60 bytes of a worker's memory per
+    character, and 8 more for each language.  An empty table gives no rows.
     """
     keep = ["doc_id"] if keep is None else keep
     prepare(docs.sparkSession)
-    chosen = docs.select(docs[text_col].alias("__text"), *[docs[c] for c in keep])
-    out = ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in ((f.name, f.dataType) for f in chosen.schema.fields[1:])), f"{prefix}lang_pred string", f"{prefix}score double", f"{prefix}entropy double", f"{prefix}letters long", f"{prefix}rejected boolean"])
+    chosen = docs.select(column(text_col).alias("__text"), *map(column, keep))
+    out = ", ".join([*(f"`{c.replace('`', '``')}` {t.simpleString()}" for c, t in ((f.name, f.dataType) for f in chosen.schema.fields[1:])), f"{prefix}lang_pred string", f"{prefix}score double", f"{prefix}entropy double", f"{prefix}letters long", f"{prefix}rejected boolean"])
     names = [*keep, *(prefix + c for c in ("lang_pred", "score", "entropy", "letters", "rejected"))]
 
+    @tidied
     def run(batches):
         m = model.value
         for batch in batches:
             parts = []
-            for _, _, buf, at in runs(batch.column(0), 1 << 19):
+            for _, _, buf, at in runs(batch.column(0)):
                 points, begin, letters = symbols(buf, at)
                 n, size = len(at) - 1, np.diff(begin) - (ORDER - 1)
                 sums = np.zeros((n, max(1, len(m.languages))))
@@ -250,8 +268,8 @@ def predict(docs: DataFrame, model, keep: list[str] | None = None, text_col: str
                 low = mean[np.arange(n), best]
                 share = 1 / np.exp(np.maximum(-60, -(mean - low[:, None]) * np.minimum(size, 50)[:, None])).sum(1)
                 none = (letters == 0) | (not m.languages)
-                limit = m.limits[best] if m.limits is not None else np.full(n, np.inf)
-                parts.append((none, best, np.where(none, 0, share), low, letters, none | (low > limit) & (letters >= SHORT)))
+                rejected = (letters == 0) | ~none & (low > m.limit(best, letters))
+                parts.append((none, best, np.where(none, 0, share), low, letters, rejected))
             if not parts:
                 continue
             none, best, score, low, letters, rejected = (np.concatenate(x) for x in zip(*parts))
@@ -278,7 +296,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from rows with a language whose crc32(doc_id) mod 4 isn't 2 (a null
     id counts as not held out).  Repeated rows each give a row; an empty table
-    gives none; without any labelled text everything is `und`.
+    gives none; without any labelled text everything is `und`.  Ties between
+    languages go to the first in alphabetical order.
     """
     model = fitted(docs)
     flag = F.coalesce(held_out(F.col("doc_id")), F.lit(False))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bytes_hash, lower_ascii, prepare, runs, span_hashes, spans
+from .common import bytes_hash, lower_ascii, prepare, runs, span_hashes, spans, tidied
 
 #: Phrases that any scan reports, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -142,6 +142,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base:
     longest = max((len(a.moves) for a in automata), default=1)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,first:long,end:long>>"
 
+    @tidied
     def run(batches):
         for batch in batches:
             out: list[tuple] = []

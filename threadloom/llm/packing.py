@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import prepare, settle
+from .common import prepare, settle, tidied
 
 GROUP = 8192
 
@@ -65,6 +65,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, max_len: int, id_col:
     prepare(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
+    @tidied
     def run(batches):
         e, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, mix, prepare, runs, settle, span_hashes, spans
+from .common import attach_groups, mix, prepare, runs, settle, span_hashes, spans, tidied
 
 #: Labelled rows that the classifier is fitted on, about; statistics of sites use all rows.
 SAMPLE = 20_000
@@ -127,6 +127,7 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     spark = docs.sparkSession
     prepare(spark)
 
+    @tidied
     def run(batches):
         for batch in batches:
             x = np.concatenate([np.zeros((0, len(FEATURES))), *(features(buf, at) for _, _, buf, at in runs(batch.column(0)))])
@@ -147,6 +148,7 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     if len(set(y.tolist())) == 2:
         model = fit(np.stack(taken["x"].to_numpy()), y)
 
+    @tidied
     def weigh(frames):
         for f in frames:
             odds = model.log_odds(np.stack(f["x"].to_numpy())) if model and len(f) else np.zeros(len(f))
