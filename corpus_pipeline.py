@@ -1,12 +1,17 @@
 """Corpus pipeline: language, quality, exact and near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; all but the last return the columns of `docs`.  Null texts and texts
-without letters are rejected by the first stage, so later stages see none unless
-they are called by themselves.  Rows that share a doc_id share their verdicts in
-the language of filters: they go only when all of them are rejected; exact
+kept; all but the last return the columns of `docs`, whatever others there are
+beside doc_id, text, lang and source and whatever their names.  Null texts and
+texts without letters are rejected by the first stage, so later stages see none
+unless they are called by themselves; there a null text counts as empty.  Where
+no row has a language, or none a label, the first or second stage rejects nothing
+but texts without letters.  Rows that share a doc_id, or have none, share the
+verdict of the quality stage: they go only when all of them are rejected; exact
 duplicates among them are told apart by their text, near duplicates by their
-words, so one row of each class stays whatever its doc_id is.
+words, so one row of each class stays whatever its doc_id is.  An empty table
+stays empty.  A text of any length goes through whole, in one worker's memory;
+see the operators for what each takes per byte.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import exact, langid, neardup, packing, quality
-from threadloom.llm.common import prepare, remove, scratch, settle, table
+from threadloom.llm.common import column, prepare, remove, scratch, settle, table
 from threadloom.llm.queries import tokenizer_file
 
 
@@ -38,19 +43,19 @@ def _lowered(text: Column) -> Column:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of a recognised language."""
+    """Keep documents of a recognised language; each row has its own verdict."""
     found = langid.predict(docs, langid.fitted(docs), keep=docs.columns, prefix="__langid_")
-    return found.filter(~F.col("__langid_rejected")).select(*docs.columns)
+    return found.filter(~F.col("__langid_rejected")).select(*map(column, docs.columns))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the quality posterior accepts."""
+    """Keep documents that the quality posterior accepts; without labels, all."""
     rows = quality.assess(docs, table(spark, sf_dir, "labels"))
     return _without(docs, _verdicts(rows).filter("not kept"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of equal texts the row with the largest doc_id."""
+    """Keep of equal texts the row with the largest doc_id; a null id is smaller than any, and one of repeated rows stays."""
     rows = settle(exact.exact_groups(docs))
     verdicts = _verdicts(rows)
     out = _without(docs, verdicts.filter("not kept or n > 1"))
@@ -64,7 +69,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group, that with the smallest doc_id."""
+    """Keep one document of each near-duplicate group, that with the smallest doc_id; a null id is larger than any, and one of repeated rows stays."""
     rows = settle(neardup.near_rows(docs))
     verdicts = _verdicts(rows)
     out = _without(docs, verdicts.filter("not kept or n > 1"))
@@ -78,7 +83,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 tokens."""
+    """Pack what is left into sequences of 2048 tokens; a null or empty text is its end id alone."""
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=0, max_len=2048)
 
 
@@ -90,7 +95,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Language models, the classifier and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: Language models, the classifier and the tokenizer are beyond SQL; tests recompute the stages' decisions by other means.
 ORACLE_SQL = None
 
 
