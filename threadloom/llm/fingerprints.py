@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, span_hashes
+from .common import mix, prepare, span_hashes, tidied
 
 LEAST, WANTED, MOST = 32, 64, 256
 HARD, EASY = 7, 5
-#: Bytes of text per range of ids, about.
-RANGE_BYTES = 12 << 20
+#: Bytes of text per range of ids, about, until there are RANGES of them; they are read as streams, so larger ones take no more memory.
+RANGE_BYTES, RANGES = 12 << 20, 10_000
 _GEAR = (mix(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _ENTRY = np.dtype([("digest", ">u4"), ("length", ">u2")])
 
@@ -108,41 +108,65 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next text.
 
     The next document is the one of the next smaller doc_id, for the last the
-    first; null ids come last, repeated ids in the order of their texts.  A null
-    text is empty; a single row is its own next.  An empty table gives no rows.
+    first; null ids come last, repeated ids in the order of a hash of their texts.
+    A null text is empty; a single row is its own next.  An empty table gives no
+    rows; columns other than id and text are not read.  An id that many rows have,
+    and null, are dealt to several ranges by that hash; the driver holds a few
+    numbers for each of RANGES ranges at most.  A text is looked at whole, with
+    some 40 bytes of a worker's memory per byte.
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    ranges = max(1, -(-volume // RANGE_BYTES))
-    bounds = np.zeros(0, np.int64)
+    text = F.coalesce(docs[text_col], F.lit(""))
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    seen = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named")).first()
+    ranges = min(RANGES, max(1, -(-seen["bytes"] // RANGE_BYTES)))
+    bounds, parts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    nulls = max(1, ranges * (seen["n"] - seen["named"]) // max(seen["n"], 1))
     if ranges > 1:
-        at = docs.agg(F.percentile_approx("doc_id", [float(k) / ranges for k in range(1, ranges)], F.lit(100 * ranges)).alias("q")).first()["q"]
-        bounds = np.unique(np.array(at or [], np.int64))
-
-    def ranged(ids: pa.Array) -> np.ndarray:
-        got = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, got)
-
+        at = docs.agg(F.percentile_approx("doc_id", [float(k) / ranges for k in range(1, ranges)], F.lit(20 * ranges)).alias("q")).first()["q"]
+        bounds, parts = np.unique(np.array(at or [], np.int64), return_counts=True)
+    below = np.concatenate([[0], np.cumsum(parts)])
+
+    def ranged(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        """Ranges ascend with the id, and descend with the hash where an id has several; those of null are negative."""
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        i = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        share = (hashes.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        k = np.searchsorted(bounds, i, "right")
+        out = below[k]
+        if len(bounds):
+            same = (k > 0) & (bounds[np.maximum(k - 1, 0)] == i)
+            own = parts[np.maximum(k - 1, 0)]
+            out = np.where(same, out - np.minimum((share * own).astype(np.int64), own - 1), out)
+        return np.where(none, -1 - np.minimum((share * nulls).astype(np.int64), nulls - 1), out)
+
+    @tidied
     def first_of(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(ranged(batch.column(0))), batch.column(0)], ["range", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranged(*batch.columns)), *batch.columns], ["range", "doc_id", "hash"])
 
-    tops = docs.select("doc_id").mapInArrow(first_of, "range long, doc_id long").groupBy("range").agg(F.max("doc_id").alias("top")).orderBy(F.desc("range")).collect()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("after"), "hash", "doc_id"))
+    tops = docs.select("doc_id", "hash").mapInArrow(first_of, "range long, doc_id long, hash long").groupBy("range").agg(first.alias("top")).orderBy(F.desc("range")).collect()
     # the first document of a range follows the last one of the range above; that of the highest range follows the very last
-    follows = {r["top"]: tops[k - 1]["range"] for k, r in enumerate(tops)}
+    follows = {(r["top"]["doc_id"], r["top"]["hash"]): tops[k - 1]["range"] for k, r in enumerate(tops)}
 
+    @tidied
     def deal(batches):
+        handed = set()
         for batch in batches:
-            where = pa.array(ranged(batch.column(0)))
-            ids = batch.column(0).to_pylist()
-            extra = [k for k, i in enumerate(ids) if i in follows]
-            rows = pa.array([*range(len(ids)), *extra])
-            target = [*where.to_pylist(), *(follows[ids[k]] for k in extra)]
-            yield pa.RecordBatch.from_arrays([pa.array(target, pa.int64()), pa.array([False] * len(ids) + [True] * len(extra)), batch.column(0).take(rows), batch.column(1).take(rows)], ["range", "next_range", "doc_id", "text"])
-
-    dealt = docs.mapInArrow(deal, "range long, next_range boolean, doc_id long, text string")
+            where = pa.array(ranged(batch.column(0), batch.column(1)))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            extra = []
+            for k, key in enumerate(keys):  # of equal rows one is enough
+                if key in follows and key not in handed:
+                    handed.add(key)
+                    extra.append(k)
+            rows = pa.array([*range(len(keys)), *extra], pa.int64())
+            target = [*where.to_pylist(), *(follows[keys[k]] for k in extra)]
+            yield pa.RecordBatch.from_arrays([pa.array(target, pa.int64()), pa.array([False] * len(keys) + [True] * len(extra)), *(batch.column(c).take(rows) for c in range(3))], ["range", "next_range", "doc_id", "hash", "text"])
+
+    dealt = docs.mapInArrow(deal, "range long, next_range boolean, doc_id long, hash long, text string")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
@@ -160,10 +184,11 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out.append((a[2], len(a[3]), hashlib.sha256(changed[k].encode("utf-8")).hexdigest(), fingerprint(own), fingerprint(new), containment(own, new), containment(own, following)))
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names)
 
+    @tidied
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("range", "next_range", "doc_id", "text"))):
                 if held and row[0] != held[-1][0]:  # the last of a range is the first of the next one, seen as a successor only
                     yield done(held)
                     held, size = [], 0
@@ -175,5 +200,5 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if held:
             yield done(held)
 
-    spread = dealt.repartition(max(1, len(tops)), "range").sortWithinPartitions("range", "next_range", F.desc_nulls_last("doc_id"), "text")
+    spread = dealt.repartition(max(1, len(tops)), "range").sortWithinPartitions("range", "next_range", F.desc_nulls_last("doc_id"), "hash", "text")
     return spread.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
