@@ -143,6 +143,66 @@ def test_licences(frame):
     assert licences.scan(frame([])).count() == 0
 
 
+def as_pattern(template):
+    """A template as a regular expression over words that end in a space each."""
+    out = ""
+    for k, piece in enumerate(re.split(r"<<(.*?)>>", template)):
+        if k % 2 == 0:
+            out += "".join(re.escape(w) + " " for w in licences.words_of(piece))
+        elif piece.startswith("var"):
+            out += "(?:[^ ]+ ){0,%s}" % re.search(r"max=(\d+)", piece)[1]
+        else:
+            out += "(?:" if piece == "beginOptional" else ")?"
+    return re.compile(out)
+
+
+def instance(template, r):
+    """A text that the template accepts."""
+    out, skipped = [], 0
+    for k, piece in enumerate(re.split(r"<<(.*?)>>", template)):
+        if k % 2 == 0:
+            out += [] if skipped else [r.choice([w, w.upper(), w + ","]) for w in licences.words_of(piece)]
+        elif piece.startswith("var"):
+            out += [r.choice(["the", "authors", "software"]) for _ in range(r.randrange(7))]
+        elif piece == "beginOptional":
+            skipped += 1 if skipped or r.random() < 0.5 else 0
+        else:
+            skipped -= 1 if skipped else 0
+    return " ".join(out)
+
+
+def test_templates_against_patterns(frame, prose):
+    """Every accepted place of every template, in instances, instances with an edit, and two of them in a row."""
+    r = random.Random(11)
+    texts = [prose(1), "", None]
+    for _, template in licences.TEMPLATES:
+        whole = instance(template, r)
+        w = instance(template, r).split()
+        edited = list(w)
+        edited[r.randrange(len(w))] = "edited"
+        texts += [f"Some text. {whole}. More text.", " ".join(edited), whole + " " + " ".join(w), " ".join(w[:-1]), " ".join(w) * 2]
+    texts.append(" ".join(instance(t, r) + " " + prose(3, 2000) for _, t in licences.TEMPLATES))
+    got = {x.doc_id: x for x in licences.scan(frame(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        words = licences.words_of(text or "")
+        line, at = "".join(w + " " for w in words), np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+        want = []
+        for label, template in licences.TEMPLATES:
+            pattern = as_pattern(template)
+            for k in range(len(words)):
+                ends = [j for j in range(k + 1, len(words) + 1) if pattern.fullmatch(line, at[k], at[j])] if pattern.match(line, at[k]) else []
+                if ends:
+                    want.append((label, k, ends[-1]))
+        assert sorted((p.label, p.first, p.end) for p in got[i].places) == sorted(want)
+        assert set(got[i].labels.split(",")) - {""} == {x[0] for x in want} | (set(got[i].base_labels.split(",")) - {""})
+
+
+def test_licences_of_repeated_rows(frame):
+    rows = [(None, "Licensed under CC BY 4.0"), (1, "cc by"), (1, "cc by"), (2, "x " * 100_000 + "all rights reserved"), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_base, r.first_word, r.labels) for r in licences.scan(frame(rows)).collect() if r.n_words)
+    assert got == [(0, 6, 1, 2, "cc-by,cc-by-4.0"), (1, 2, 1, 0, "cc-by"), (1, 2, 1, 0, "cc-by"), (2, 100_003, 1, 100_000, "reserved")]
+
+
 def test_optional_parts_and_variables():
     a = licences.compile_template("x", "one two <<beginOptional>>three <<beginOptional>>four<<endOptional>><<endOptional>> <<var;max=2>> five")
     h = lambda s: [licences.bytes_hash(w) for w in s.split()]
