@@ -91,6 +91,11 @@ def test_throttle_bounds(spark):
     assert emitted(False) == [0, 60, 120] and emitted(True) == [0, 61]
 
 
+def test_throttle_of_equal_times(spark):
+    df = spark.createDataFrame([(1, 5, n) for n in (3, 1, 2, 0)], "k int, t long, n int").repartition(3)
+    assert [r.n for r in sequential.throttled(df, "k", "t", 60, False, tie=["n"]).filter("emitted").collect()] == [0]
+
+
 def test_unreachable_server():
     got = model_server.status("http://127.0.0.1:9", 0.5)
     assert not got["reachable"] and got["error"]

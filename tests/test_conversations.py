@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.config import Config, Summarize
 from threadloom.operators import ledger, passes, region, structural, summarize
@@ -157,6 +158,56 @@ def test_summary_level(spark):
     assert off.summarize_calls == 0
 
 
+def test_one_summary_for_all_outputs(spark, tmp_path):
+    """A generator that says something else each time is asked once, and its text is the same in messages, report and cache."""
+    calls = str(tmp_path / "calls")
+
+    def generate(prompt):
+        import uuid
+
+        said = uuid.uuid4().hex
+        with open(calls, "a") as f:
+            f.write(said + "\n")
+        return said
+
+    df = from_json(spark, {k: session() for k in (1, 2, 3)})
+    settings = Config(level="summarize", summarize=Summarize(afterTurns=8))
+    out, report, keep = compact(df, settings, generate=generate)
+    put = {r.conv_id: r.text for r in out.filter("msg_id like 'summary-%'").collect()}
+    assert sum(r.summarize_calls for r in report.collect()) == 3 and out.count() and report.count() == 3
+    assert {r.conv_id: r.summary for r in keep.collect()} == put
+    asked = open(calls).read().split()
+    assert len(asked) == 3 and sorted(t[-32:] for t in put.values()) == sorted(asked)
+
+
+def test_kept_summaries(spark):
+    """Reused while the region ends where it ended, extended by a little without a user turn, not used after a change of settings."""
+    settings = Summarize(afterTurns=1, minChars=100)
+    chat = [said("user", "task"), said("assistant", "a" * 300), said("user", "more"), said("assistant", "b" * 300), said("assistant", "c" * 20), said("user", "x")]
+    df = from_json(spark, {1: chat}).withColumns({"region_start": F.lit(1), "region_end": F.lit(5)})
+    ids = [r.msg_id for r in df.orderBy("pos").collect()]
+
+    def action(through, kept=settings):
+        cache = spark.createDataFrame([(1, through, "s" * 50, "local", summarize.fingerprint(kept))], summarize.CACHE)
+        out, result, keep = summarize.summarized(df, settings, lambda p: "fresh", cache)
+        r = result.first()
+        return r.action, r.summarize_removed, out.count(), [k.through_id for k in keep.collect()]
+
+    assert action(ids[4]) == ("reuse", 574, 3, [ids[4]])
+    assert action(ids[3]) == ("extend", 554, 4, [ids[4]])
+    assert action(ids[1])[0] == "generate" and action("gone")[0] == "generate"
+    assert action(ids[4], Summarize(afterTurns=1, minChars=100, maxSummaryChars=999))[0] == "generate"
+
+
+def test_input_of_a_long_region(spark):
+    """Head and tail of what was said, whatever lies between."""
+    chat = [said("user", "task"), *(said("assistant", f"{k:05d} " + "w" * 494) for k in range(200)), said("user", "x")]
+    df = from_json(spark, {1: chat}).withColumns({"region_start": F.lit(1), "region_end": F.lit(201)})
+    raw = "\n\n".join("ASSISTANT:\n" + m["content"] for m in chat[1:201])
+    got = summarize.regions(df).first().input
+    assert got == f"[How the conversation began]\n{raw[:8000]}\n\n[How it went on most recently]\n{raw[-22000:]}"
+
+
 def test_short_or_switched_off_stays(spark):
     chat = [said("user", "a"), said("assistant", ""), said("user", "b")]
     for config, messages in ((Config(), chat), (Config(enabled=False), session())):

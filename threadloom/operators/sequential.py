@@ -27,11 +27,13 @@ def failure_gate(runs: DataFrame, key: str, order: list[str], limit: int = FAILU
     return rows.withColumn("open", F.coalesce(before, F.lit(0)) < limit).drop("__round", "__failed")
 
 
-def throttled(rows: DataFrame, key: str, at: str, gap: int, strict: bool, due: str | None = None) -> DataFrame:
+def throttled(rows: DataFrame, key: str, at: str, gap: int, strict: bool, due: str | None = None, tie: list[str] | None = None) -> DataFrame:
     """`rows` with `emitted`: true where `due` holds and the last emitted row of the key is at least `gap` away (more than, if strict).
 
     Rows are sorted by key and time within partitions and read as a stream, so a
-    key of any size needs no memory.  The first row that is due is emitted.
+    key of any size needs no memory, but one task reads it.  The first row that is
+    due is emitted; of rows with equal times the first by the columns `tie`, which
+    should tell all rows of a key apart.  Null times come first and count as 0.
     """
     chosen = rows.withColumn("__due", F.coalesce(F.col(due), F.lit(False)) if due else F.lit(True))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -41,6 +43,7 @@ def throttled(rows: DataFrame, key: str, at: str, gap: int, strict: bool, due: s
         for b in batches:
             out = []
             for k, t, d in zip(b.column(key).to_pylist(), b.column(at).to_pylist(), b.column("__due").to_pylist()):
+                t = t or 0
                 if k != last_key:
                     last_key, last = k, None
                 emit = d and (last is None or (t - last > gap if strict else t - last >= gap))
@@ -49,4 +52,4 @@ def throttled(rows: DataFrame, key: str, at: str, gap: int, strict: bool, due: s
                 out.append(emit)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.bool_())], [*b.schema.names[:-1], "emitted"])
 
-    return chosen.repartition(key).sortWithinPartitions(key, at).mapInArrow(run, f"{fields}, emitted boolean")
+    return chosen.repartition(key).sortWithinPartitions(key, at, *(tie or [])).mapInArrow(run, f"{fields}, emitted boolean")

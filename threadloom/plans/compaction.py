@@ -24,6 +24,7 @@ def compact(messages: DataFrame, config: Config = Config(), generate: Callable[[
     thresholds of truncation and summaries look at the size before any pass.
     `disabled` has conv_id of conversations for which summaries are switched off.
     One shuffle by conversation cleans; the passes after it are projections.
+    `generate` runs before this returns, once for each conversation that needs a summary.
     """
     depth = LEVELS.index(config.level)
     df = structural(messages, config.protectedTurns, LEAST, config.enabled, marks.summary)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..config import Config, Errors, Summarize, Truncate
 from ..functions import errors, text
 from ..operators import archive, ledger, passes, region, sequential, structural, summarize
@@ -27,6 +28,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_turns(table(spark, sf_dir, "conversations"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, a null text as an empty one."""
+    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+_DOCS = "(SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)"
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -91,18 +99,17 @@ def structural_drop_empty(spark, d):
     return rows.groupBy("conv_id").agg(F.sum((~F.col("dropped")).cast("long")).alias("kept"), F.sum(F.col("dropped").cast("long")).alias("dropped"), F.sum(F.when(F.col("dropped"), F.col("chars")).otherwise(0)).alias("dropped_chars"))
 
 
-_FEWER = "role <> 'user' OR turn < 2 OR (conv_id * 7 + turn) % 3 <> 0"
+_SPOKEN = "CASE WHEN turn >= 2 AND (conv_id * 7 + turn) % 3 = 0 THEN 'assistant' ELSE role END"
 
 
 @query(
-    f"WITH conversations AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text FROM conversations WHERE {_FEWER}), {_BOUNDS.format(p=1)}, "
+    f"WITH conversations AS (SELECT conv_id, turn, {_SPOKEN} AS role, text FROM conversations), {_BOUNDS.format(p=1)}, "
     "r AS (SELECT c.*, region_start, region_end, lag(role) OVER (PARTITION BY c.conv_id ORDER BY turn) AS before FROM c JOIN bounds USING (conv_id)), "
     "i AS (SELECT *, sum(CASE WHEN turn >= region_start AND turn < region_end AND role = 'assistant' AND before = 'assistant' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM r) "
     "SELECT conv_id, CAST(min(turn) AS INTEGER) AS first_pos, count(*) AS messages, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_md5 FROM i WHERE role = 'assistant' GROUP BY conv_id, island"
 )
 def structural_merge(spark, d):
-    c = table(spark, d, "conversations").filter(_FEWER)
-    c = c.withColumn("turn", F.expr("row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1"))
+    c = table(spark, d, "conversations").withColumn("role", F.expr(_SPOKEN))
     return structural.merged_islands(from_turns(c), 1).select("conv_id", "first_pos", "messages", F.md5("text").alias("text_md5"))
 
 
@@ -164,7 +171,7 @@ def _cut_sql(max_lines: int, max_kb: int) -> str:
     head = -(-max_lines * 6 // 10)
     tail = max_lines - head
     return f"""
-    WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM {_DOCS}),
     h AS (SELECT *, len(ls) AS n, len(ls) > {max_lines} AS long, array_to_string(ls[1:{head}], chr(10)) AS top, array_to_string(ls[len(ls) - {tail} + 1:len(ls)], chr(10)) AS bottom FROM l),
     b AS (SELECT *, CASE WHEN long THEN top || chr(10) || bottom ELSE text END AS body FROM h),
     m AS (SELECT *, '… [{MARKS.cut} ' || CASE WHEN long THEN n || ' lines → {max_lines} lines, ' ELSE '' END || {_KB} || ' KB → {max_kb} KB]{MARKS.suffix}' AS mark FROM b),
@@ -175,7 +182,7 @@ def _cut_sql(max_lines: int, max_kb: int) -> str:
 
 
 def _cut(spark, d, max_lines, max_kb):
-    docs = table(spark, d, "documents").filter("text is not null")
+    docs = documents(spark, d)
     kept = passes.truncated(F.col("text"), max_lines, max_kb, MARKS)
     return docs.select("doc_id", (text.u16len(F.col("text")) - text.u16len(kept)).alias("removed"), F.md5(kept).alias("kept_md5"))
 
@@ -186,12 +193,12 @@ query(_cut_sql(10, 2), "truncate_both")(lambda spark, d: _cut(spark, d, 10, 2))
 
 
 @query(
-    "WITH i AS (SELECT doc_id, '{\"doc\":' || doc_id || ',\"words\":\"' || regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') || '\"}' AS input FROM documents WHERE text IS NOT NULL), "
+    f"WITH i AS (SELECT doc_id, '{{\"doc\":' || doc_id || ',\"words\":\"' || regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') || '\"}}' AS input FROM {_DOCS}), "
     f"t AS (SELECT *, CASE WHEN length(input) > 2000 THEN '{{\"{MARKS.input_key}\":\"input truncated (not re-executable)\",\"originalChars\":' || length(input) || ',\"preview\":\"' || replace(substring(input, 1, 400), '\"', '\\\"') || '\"}}' ELSE input END AS kept FROM i) "
     "SELECT doc_id, length(input) - length(kept) AS removed, md5(kept) AS kept_md5 FROM t"
 )
 def truncate_input(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null")
+    docs = documents(spark, d)
     given = F.concat(F.lit('{"doc":'), F.col("doc_id").cast("string"), F.lit(',"words":"'), F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), F.lit('"}'))
     rows = docs.select("doc_id", given.alias("input"))
     kept = F.when(text.u16len(F.col("input")) > 2000, passes.trimmed_input(F.col("input"), MARKS)).otherwise(F.col("input"))
@@ -213,9 +220,9 @@ def _masked_sql(column: str) -> str:
 _SECRET = "concat(text, ' password: ', doc_id, 'x key sk-', substring(md5(CAST(doc_id AS VARCHAR)), 1, 20), ' url postgres://u:p', doc_id, '@h/db?sig=', doc_id, '&sig=a', doc_id)"
 
 
-@query(f"WITH s AS (SELECT doc_id, {_SECRET} AS t FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, {_masked_sql('t')} AS m FROM s) SELECT doc_id, length(m) AS chars, md5(m) AS masked_md5 FROM m")
+@query(f"WITH s AS (SELECT doc_id, {_SECRET} AS t FROM {_DOCS}), m AS (SELECT doc_id, {_masked_sql('t')} AS m FROM s) SELECT doc_id, length(m) AS chars, md5(m) AS masked_md5 FROM m")
 def mask_secrets(spark, d):
-    s = table(spark, d, "documents").filter("text is not null").select("doc_id", F.expr(_SECRET.replace("AS VARCHAR", "AS STRING")).alias("t"))
+    s = documents(spark, d).select("doc_id", F.expr(_SECRET.replace("AS VARCHAR", "AS STRING")).alias("t"))
     m = s.select("doc_id", text.mask_secrets(F.col("t")).alias("m"))
     return m.select("doc_id", text.u16len(F.col("m")).alias("chars"), F.md5("m").alias("masked_md5"))
 
@@ -287,7 +294,7 @@ def error_generic(spark, d):
 
 # --- ledgers: line items as runs, with a task per supplier
 
-_RECORDS = 'SELECT l_suppkey AS task, epoch_ms(l_shipdate) + l_orderkey * 10 + l_linenumber AS "at", CAST(floor(l_extendedprice) AS BIGINT) AS chars_before, CAST(floor(l_extendedprice) - floor(l_extendedprice * l_discount) AS BIGINT) AS chars_after, CAST(floor(l_extendedprice * l_discount) AS BIGINT) AS saved, l_partkey % 3 = 0 AS called, l_partkey FROM lineitem'
+_RECORDS = 'SELECT l_suppkey AS task, epoch_ms(l_shipdate) + l_orderkey * 10 + l_linenumber AS "at", CAST(floor(l_extendedprice) AS BIGINT) AS chars_before, CAST(floor(l_extendedprice) - floor(l_extendedprice * l_discount) AS BIGINT) AS chars_after, CAST(floor(l_extendedprice * l_discount) AS BIGINT) AS saved, l_partkey % 3 = 0 AS called, l_partkey, l_orderkey, l_linenumber FROM lineitem'
 
 
 def records(spark, d) -> DataFrame:
@@ -297,6 +304,7 @@ def records(spark, d) -> DataFrame:
     return item.select(
         F.col("l_suppkey").alias("task"), (text.epoch_ms("l_shipdate") + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), before.alias("chars_before"), (before - saved).alias("chars_after"), saved.alias("saved"),
         *(F.when(by == k, saved).otherwise(0).alias(p) for k, p in enumerate(ledger.PASSES)), (F.col("l_partkey") % 3 == 0).cast("long").alias("summarize_calls"), F.when(F.col("l_partkey") % 3 == 0, "local").otherwise("none").alias("summarizer"),
+        "l_orderkey", "l_linenumber",
     )
 
 
@@ -327,11 +335,12 @@ def task_stats_rollup(spark, d):
     return ledger.task_stats(records(spark, d))
 
 
-@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY \"at\") AS n, sum(saved) OVER (PARTITION BY task ORDER BY \"at\" ROWS UNBOUNDED PRECEDING) AS s, sum(chars_before) OVER (PARTITION BY task ORDER BY \"at\" ROWS UNBOUNDED PRECEDING) AS b FROM (SELECT * FROM ({_RECORDS}) QUALIFY count(*) OVER (PARTITION BY task, \"at\") = 1)) SELECT task, \"at\", n AS passes_so_far, CAST(s AS BIGINT) AS saved_so_far, CAST(b AS BIGINT) AS before_so_far FROM r")
+_SO_FAR = 'OVER (PARTITION BY task ORDER BY "at", l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)'
+
+
+@query(f"WITH r AS ({_RECORDS}) SELECT task, \"at\", l_orderkey, l_linenumber, count(*) {_SO_FAR} AS passes_so_far, CAST(sum(saved) {_SO_FAR} AS BIGINT) AS saved_so_far, CAST(sum(chars_before) {_SO_FAR} AS BIGINT) AS before_so_far FROM r")
 def task_stats_running(spark, d):
-    r = records(spark, d)
-    alone = r.groupBy("task", "at").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    return ledger.running_stats(r.join(alone, ["task", "at"], "left_semi")).select("task", "at", "passes_so_far", "saved_so_far", "before_so_far")
+    return ledger.running_stats(records(spark, d), "l_orderkey", "l_linenumber").select("task", "at", "l_orderkey", "l_linenumber", "passes_so_far", "saved_so_far", "before_so_far")
 
 
 @query("SELECT user_id, event_id % 4 AS generation, event_id AS line, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 4 DESC, event_id DESC) = 1")
@@ -443,7 +452,7 @@ def failure_gate(spark, d):
 
 
 def _throttle_sql(op: str, gap: int, due: str) -> str:
-    return f"WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS t, {due} AS due, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts)) AS k FROM events), g AS (SELECT user_id, event_id, k, due AS emitted, CASE WHEN due THEN t END AS last FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, due AND (last IS NULL OR t - last {op} {gap}), CASE WHEN due AND (last IS NULL OR t - last {op} {gap}) THEN t ELSE last END FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1) SELECT event_id, emitted FROM g"
+    return f"WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS t, {due} AS due, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events), g AS (SELECT user_id, event_id, k, due AS emitted, CASE WHEN due THEN t END AS last FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, due AND (last IS NULL OR t - last {op} {gap}), CASE WHEN due AND (last IS NULL OR t - last {op} {gap}) THEN t ELSE last END FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1) SELECT event_id, emitted FROM g"
 
 
 def _timed(spark, d):
@@ -452,22 +461,23 @@ def _timed(spark, d):
 
 @query(_throttle_sql(">", 36_000_000, "value >= 20"))
 def log_throttle(spark, d):
-    return sequential.throttled(_timed(spark, d), "user_id", "at", 36_000_000, True, "due").select("event_id", "emitted")
+    return sequential.throttled(_timed(spark, d), "user_id", "at", 36_000_000, True, "due", ["event_id"]).select("event_id", "emitted")
 
 
 @query(_throttle_sql(">=", 86_400_000, "true"))
 def persist_throttle(spark, d):
-    return sequential.throttled(_timed(spark, d), "user_id", "at", 86_400_000, False).select("event_id", "emitted")
+    return sequential.throttled(_timed(spark, d), "user_id", "at", 86_400_000, False, tie=["event_id"]).select("event_id", "emitted")
 
 
 # --- the whole plan
 
 def document_chats(spark, d) -> DataFrame:
-    """A conversation per document: a task, a call of a command tool, its result (every third a compiler log), an answer, two user turns."""
-    docs = table(spark, d, "documents").filter("text is not null")
+    """A conversation per document, and one more for every third: a task, a call of a command tool, its result (the text; in the other one a compiler log), an answer, two user turns."""
+    docs = documents(spark, d).select("doc_id", "text")
+    docs = docs.withColumn("log", F.lit(False)).unionByName(docs.filter("doc_id % 3 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "text", F.lit(True).alias("log")))
     null = F.lit(None).cast("string")
     error = F.concat(F.lit("src/a.ts:1:2 - error TS1: x"), F.repeat(F.concat(F.lit("\nline "), F.col("doc_id").cast("string")), F.lit(2000)))
-    output = F.when(F.col("doc_id") % 3 == 0, error).otherwise(F.col("text"))
+    output = F.when(F.col("log"), error).otherwise(F.col("text"))
 
     def struct(kind, given, out_type, out):
         return F.array(F.struct(F.lit(kind).alias("type"), null.alias("text"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("call_id"), F.lit("bash").alias("tool"), given.alias("input"), out_type.alias("out_type"), out.alias("out"), null.alias("raw"))).cast(f"array<{PART}>")
@@ -484,8 +494,8 @@ _ERROR_MARK = f"… [{MARKS.error} 2001 lines → 2 lines]{MARKS.suffix}"
 
 @query(
     _cut_sql(20, 4).rsplit("SELECT doc_id", 1)[0]
-    + f", s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 27 + 2000 * (6 + length(CAST(doc_id AS VARCHAR))) ELSE length(text) END AS size, length(text) - length(kept) AS cut, {len(_ERROR_MARK)} + 1 + length('error TS1: x') + 1 + length('at src/a.ts:1:2') AS summary FROM k), "
-    "r AS (SELECT doc_id, size + 5 + 7 + 4 + 5 + 3 AS chars_before, CASE WHEN doc_id % 3 = 0 THEN size - summary ELSE 0 END AS error_removed, CASE WHEN doc_id % 3 <> 0 AND size + 24 > 3000 THEN greatest(cut, 0) ELSE 0 END AS truncate_removed FROM s) "
+    + f", o AS (SELECT doc_id, text, kept, false AS log FROM k UNION ALL SELECT -1 - doc_id, text, kept, true FROM k WHERE doc_id % 3 = 0), s AS (SELECT doc_id, log, CASE WHEN log THEN 27 + 2000 * (6 + length(CAST(doc_id AS VARCHAR))) ELSE length(text) END AS size, length(text) - length(kept) AS cut, {len(_ERROR_MARK)} + 1 + length('error TS1: x') + 1 + length('at src/a.ts:1:2') AS summary FROM o), "
+    "r AS (SELECT doc_id, size + 5 + 7 + 4 + 5 + 3 AS chars_before, CASE WHEN log THEN size - summary ELSE 0 END AS error_removed, CASE WHEN NOT log AND size + 24 > 3000 THEN greatest(cut, 0) ELSE 0 END AS truncate_removed FROM s) "
     "SELECT doc_id AS conv_id, CAST(6 AS INTEGER) AS n_before, chars_before, chars_before - error_removed - truncate_removed AS chars_after, CAST(0 AS BIGINT) AS structural_removed, error_removed, truncate_removed, error_removed + truncate_removed > 0 AS touched FROM r"
 )
 def pipeline_report(spark, d):
@@ -511,6 +521,17 @@ def compacted_messages(spark, d):
     return out.select("conv_id", "pos", "role", region.chars(F.col("kind"), F.col("text"), F.col("parts")).alias("chars"))
 
 
+@query(
+    ORACLE["summarize_stub"].replace("SELECT conv_id, CASE WHEN due", ", w2 AS (SELECT t.conv_id, w.* EXCLUDE (conv_id), t.n AS n_all, t.chars > 1000 AND t.n >= 4 AS large, t.chars FROM (SELECT conv_id, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY conv_id) t LEFT JOIN w USING (conv_id)) SELECT conv_id, CASE WHEN due").rsplit("SELECT conv_id", 1)[0]
+    + "SELECT conv_id, CAST(n_all AS INTEGER) AS n_before, CAST(chars AS BIGINT) AS chars_before, CAST(chars - CASE WHEN large AND due AND saves > 0 THEN saves ELSE 0 END AS BIGINT) AS chars_after, CAST(CASE WHEN large AND due AND saves > 0 THEN saves ELSE 0 END AS BIGINT) AS summarize_removed, CAST(coalesce(large AND due, false) AS INTEGER) AS summarize_calls, CASE WHEN large AND due AND saves > 0 THEN 'local' ELSE 'none' END AS summarizer FROM w2"
+)
+def compact_summaries(spark, d):
+    """The whole plan at the level of summaries."""
+    settings = Config(level="summarize", maxContextChars=1000, protectedTurns=1, summarize=Summarize(afterTurns=2, minChars=500))
+    _, report, _ = compact(messages(spark, d), settings, _stub)
+    return report.select("conv_id", "n_before", "chars_before", "chars_after", "summarize_removed", "summarize_calls", "summarizer")
+
+
 # --- other scalar functions
 
 _URLS = ["http://10.0.0.1:11434", "http://localhost:1", "https://h.example", "http://127.0.0.1/x", "no url", "http://h.example/a?b", "ftp://x", "http://[::1]:80/"]
@@ -526,20 +547,20 @@ def safe_names(spark, d):
     return table(spark, d, "pages").select("page_id", text.safe_name(F.col("url")).alias("name"))
 
 
-@query("SELECT doc_id, CAST(floor((n_chars - 1000) / 4.0 + 0.5) AS BIGINT) AS tokens, md5(trim(concat(' ', chr(9), text, chr(160), chr(10)), concat(' ', chr(9), chr(10), chr(160), chr(13)))) AS trimmed_md5 FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, CAST(floor((n_chars - 1000) / 4.0 + 0.5) AS BIGINT) AS tokens, md5(trim(concat(' ', chr(9), text, chr(160), chr(10)), concat(' ', chr(9), chr(10), chr(160), chr(13)))) AS trimmed_md5 FROM {_DOCS}")
 def number_and_trim(spark, d):
     padded = F.concat(F.lit(" \t"), F.col("text"), F.lit(chr(160) + "\n"))
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", text.half_up((F.col("n_chars") - 1000) / 4).alias("tokens"), F.md5(text.trim(padded)).alias("trimmed_md5"))
+    return documents(spark, d).select("doc_id", text.half_up((F.col("n_chars") - 1000) / 4).alias("tokens"), F.md5(text.trim(padded)).alias("trimmed_md5"))
 
 
 # --- streams, run to the end of what is there
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """All output of a stream over the files that exist now, kept in a table of the session."""
+def drained(stream: DataFrame) -> DataFrame:
+    """All output of a stream over the files that exist now, written to the shared folder together with the stream's state."""
     spark = stream.sparkSession
-    spark.sql(f"DROP VIEW IF EXISTS {name}")
-    stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    to = shared.scratch(spark)
+    stream.writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{to}/out")
 
 
 def _stream(spark, d, name):
@@ -553,7 +574,7 @@ def stream_tool_errors(spark, d):
     e = _stream(spark, d, "events")
     tool = F.when(F.col("event_id") % 2 == 0, "bash").otherwise("read")
     events = e.select("event_id", F.col("user_id").cast("string").alias("task"), F.col("event_id").cast("string").alias("call_id"), tool.alias("tool"), F.to_json(F.struct(F.expr(_PY_LOG).alias("stdout"))).alias("raw"))
-    out = drained(tools.rewritten(events, min_chars=10).select("event_id", "summary"), "threadloom_tool_errors")
+    out = drained(tools.rewritten(events, min_chars=10).select("event_id", "summary"))
     return out.select("event_id", F.get(F.split("summary", "\n", -1), F.lit(1)).alias("first_line"))
 
 
@@ -561,6 +582,6 @@ def stream_tool_errors(spark, d):
 def stream_failure_gate(spark, d):
     e = _stream(spark, d, "events")
     runs = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "purchase").alias("succeeded"))
-    out = drained(tools.gate(runs), "threadloom_gate")
+    out = drained(tools.gate(runs))
     events = table(spark, d, "events").select("event_id", F.col("user_id").alias("key"), F.col("event_id").alias("seq"))
     return out.join(events, ["key", "seq"]).select("event_id", "open")

@@ -35,17 +35,23 @@ def rewritten(events: DataFrame, min_chars: int = 8000, context: int = 8, archiv
 
 
 def gate(runs: DataFrame, limit: int = FAILURES) -> DataFrame:
-    """key, seq, open for a stream of key, seq, failed, succeeded; the state of a key is its failures in a row."""
+    """key, seq, open for a stream of key, seq, failed, succeeded; the state of a key is its failures in a row.
+
+    Runs of a key are taken in the order of seq within a frame of a micro-batch,
+    and frames in the order in which they come: a run that arrives after later
+    ones counts when it arrives.  No more than a frame is held.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failures, off = state.get if state.exists else (0, False)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        opened = []
-        for failed, succeeded in zip(rows["failed"], rows["succeeded"]):
-            opened.append(not off)
-            failures = 0 if succeeded else failures + bool(failed)
-            off = off or failures >= limit
+        for rows in frames:
+            rows = rows.sort_values("seq")
+            opened = []
+            for failed, succeeded in zip(rows["failed"], rows["succeeded"]):
+                opened.append(not off)
+                failures = 0 if succeeded else failures + bool(failed)
+                off = off or failures >= limit
+            yield pd.DataFrame({"key": rows["key"], "seq": rows["seq"], "open": opened})
         state.update((int(failures), bool(off)))
-        yield pd.DataFrame({"key": rows["key"], "seq": rows["seq"], "open": opened})
 
     return runs.groupBy("key").applyInPandasWithState(step, "key long, seq long, open boolean", "failures int, off boolean", "append", GroupStateTimeout.NoTimeout)
