@@ -69,6 +69,98 @@ def test_probabilities_add_up_to_one():
         assert (p <= 1.001).all() and (p > 0.9).all()
 
 
+class KneserNey:
+    """Interpolated Kneser-Ney of one language, from the definition; `alphabet` is that of all languages."""
+
+    def __init__(self, grams, alphabet):
+        self.count = {langid.ORDER: dict(grams)}
+        for m in range(langid.ORDER - 1, 0, -1):
+            self.count[m] = collections.Counter(g[1:] for g in self.count[m + 1])
+        self.unknown = 1 / (len(alphabet) + 1)
+        self.total, self.kinds, self.discount = {}, {}, {}
+        for m, count in self.count.items():
+            self.total[m], self.kinds[m] = collections.Counter(), collections.Counter()
+            for g, c in count.items():
+                self.total[m][g[:-1]] += c
+                self.kinds[m][g[:-1]] += 1
+            ones, twos = (sum(c == k for c in count.values()) for k in (1, 2))
+            self.discount[m] = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+
+    def p(self, gram):
+        m, context = len(gram), gram[:-1]
+        if not m:
+            return self.unknown
+        if not self.total[m][context]:
+            return self.p(gram[1:])
+        d, total = self.discount[m], self.total[m][context]
+        return max(self.count[m].get(gram, 0) - d, 0) / total + d * self.kinds[m][context] / total * self.p(gram[1:])
+
+
+def test_models_are_kneser_ney():
+    r = random.Random(3)
+    seen = {name: collections.Counter() for name in sorted(SYLLABLES)}
+    for name, grams in seen.items():
+        s = "   " + text(name, r, 200)
+        grams.update(s[i : i + langid.ORDER] for i in range(len(s) - langid.ORDER + 1))
+    rows = [(k, g, c) for k, grams in enumerate(seen.values()) for g, c in grams.items()]
+    model = langid.fit(list(seen), np.array([[ord(c) for c in g] for _, g, _ in rows], np.uint32), np.array([k for k, _, _ in rows]), np.array([c for _, _, c in rows]))
+    alphabet = {c for _, g, _ in rows for c in g}
+    truth = [KneserNey(grams, alphabet) for grams in seen.values()]
+    for t in (text("aa", r, 20), text("bb", r, 20), "kaxq mi zzzz ung\u4e2d"):
+        t = "   " + t
+        got = model.score(np.array([ord(c) for c in t], np.uint32))
+        for i in range(langid.ORDER - 1, len(t)):
+            want = [m.p(t[i - langid.ORDER + 1 : i + 1]) for m in truth]
+            assert np.allclose(np.exp(got[i]), np.maximum(want, 1e-9), rtol=1e-3), (t[: i + 1], want)
+
+
+def test_languages_that_were_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").filter("held_out and truth is not null and letters > 0").collect()
+    assert len(got) > 200 and sum(r.lang_pred == r.truth for r in got) >= 0.99 * len(got)
+
+
+def shrunk(sites):
+    """Strength of a Beta prior by the method of moments, from (n, y, prior) of sites."""
+    n = sum(x[0] for x in sites)
+    spread = sum(a * (b / a - c) ** 2 for a, b, c in sites) - sum(c * (1 - c) for _, _, c in sites)
+    within = sum(a * c * (1 - c) for a, _, c in sites) / n
+    return min(max(within / (spread / n) - 1, 1.0), 1000.0) if spread > 0 else 1000.0
+
+
+def test_posteriors_are_recomputed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    known = {r.doc_id: float(r.quality) for r in labels.collect()}
+    got = quality.assess(docs, labels).collect()
+    own = [known.get(r.doc_id, r.evidence) for r in got]
+    prior = sum(own) / len(own)
+    hosts, paths = collections.defaultdict(lambda: [0, 0.0]), collections.defaultdict(lambda: [0, 0.0])
+    for r, y in zip(got, own):
+        for site in (hosts[r.host], paths[r.host, r.path]):
+            site[0] += 1
+            site[1] += y
+    s = shrunk([(n, y, prior) for n, y in hosts.values()])
+    mean = {h: (y + s * prior) / (n + s) for h, (n, y) in hosts.items()}
+    t = shrunk([(n, y, mean[h]) for (h, _), (n, y) in paths.items()])
+    logit = lambda p: math.log(p / (1 - p))
+    for r, y in zip(got, own):
+        n, total = paths[r.host, r.path]
+        p = (total - y + t * mean[r.host]) / (n - 1 + t)
+        assert math.isclose(r.host_posterior, mean[r.host], rel_tol=1e-6) and math.isclose(r.path_posterior, p, rel_tol=1e-6)
+        odds = logit(min(max(r.evidence, 1e-7), 1 - 1e-7)) + quality.SITE_WEIGHT * (logit(min(max(p, 1e-3), 1 - 1e-3)) - logit(prior))
+        assert math.isclose(r.probability, 1 / (1 + math.exp(-odds)), rel_tol=1e-3)
+
+
+def test_quality_of_labels_that_were_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.assess(docs, labels.filter("crc32(cast(doc_id as string)) % 2 = 0")).join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 2 = 1").collect()
+    good, bad = ([r.kept for r in got if r.quality == q] for q in (1, 0))
+    print("held out: good kept", sum(good), len(good), "bad rejected", len(bad) - sum(bad), len(bad))
+    assert sum(good) >= 0.98 * len(good) and len(bad) - sum(bad) >= 0.5 * len(bad)
+
+
 def test_quality(spark):
     r = random.Random(4)
     good = lambda: ". ".join(text("aa", r, 12).capitalize() for _ in range(6))

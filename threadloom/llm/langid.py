@@ -245,9 +245,10 @@ def predict(docs: DataFrame, model, keep: list[str] | None = None, text_col: str
     """
     keep = ["doc_id"] if keep is None else keep
     prepare(docs.sparkSession)
-    chosen = docs.select(column(text_col).alias("__text"), *map(column, keep))
-    out = ", ".join([*(f"`{c.replace('`', '``')}` {t.simpleString()}" for c, t in ((f.name, f.dataType) for f in chosen.schema.fields[1:])), f"{prefix}lang_pred string", f"{prefix}score double", f"{prefix}entropy double", f"{prefix}letters long", f"{prefix}rejected boolean"])
-    names = [*keep, *(prefix + c for c in ("lang_pred", "score", "entropy", "letters", "rejected"))]
+    inner = [f"__{k}" for k in range(len(keep))]  # names may hold dots, which Python functions over batches don't take
+    chosen = docs.select(column(text_col).alias("__text"), *(column(c).alias(k) for c, k in zip(keep, inner)))
+    out = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]), f"{prefix}lang_pred string", f"{prefix}score double", f"{prefix}entropy double", f"{prefix}letters long", f"{prefix}rejected boolean"])
+    names = [*inner, *(prefix + c for c in ("lang_pred", "score", "entropy", "letters", "rejected"))]
 
     @tidied
     def run(batches):
@@ -277,7 +278,7 @@ def predict(docs: DataFrame, model, keep: list[str] | None = None, text_col: str
             pred = known.take(pa.array(np.where(none, len(m.languages), best)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pred, pa.array(score), pa.array(low, mask=none), pa.array(letters.astype(np.int64)), pa.array(rejected)], names)
 
-    return chosen.mapInArrow(run, out)
+    return chosen.mapInArrow(run, out).toDF(*keep, *names[len(keep) :])
 
 
 def held_out(doc_id: Column) -> Column:
