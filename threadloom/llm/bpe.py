@@ -25,7 +25,7 @@ from .common import kept_by_workers, prepare, runs, tidied
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 #: Fragments kept per worker in each of two generations, some 200 bytes each; only speed depends on it.
-CACHED = 40_000
+CACHED = 120_000
 
 
 def byte_letters() -> dict[int, str]:
