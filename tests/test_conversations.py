@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from threadloom.config import Config, Summarize
 from threadloom.operators import ledger, passes, region, structural, summarize
 from threadloom.plans.compaction import compact
-from threadloom.sources.messages import from_json, part
+from threadloom.sources.messages import SCHEMA, from_json, part
+
+SCHEMA_NAMES = ("conv_id", "pos", "msg_id", "role", "kind", "text", "parts")
 
 
 def said(role, content):
@@ -34,6 +36,17 @@ def rows(messages):
     return out
 
 
+def cleaned(spark, *chats):
+    """Messages that remain of each conversation, without their columns of state, and the characters that went."""
+    df = spark.createDataFrame([m | {"conv_id": n} for n, c in enumerate(chats) for m in c], SCHEMA)
+    out = [([], 0) for _ in chats]
+    for r in structural.structural(df, 2).orderBy("conv_id", "pos").collect():
+        kept, _ = out[r.conv_id]
+        kept.append({k: v for k, v in r.asDict(recursive=True).items() if k in SCHEMA_NAMES} | {"conv_id": 0})
+        out[r.conv_id] = (kept, r.structural_removed)
+    return out
+
+
 def repeated(n, words):
     chat = [said("user", "task")]
     for k in range(n):
@@ -42,33 +55,34 @@ def repeated(n, words):
 
 
 @pytest.mark.parametrize("words, left", [("", 1), ("Running", 2)])
-def test_repeats_depend_on_what_is_kept(words, left):
-    out, _ = structural.clean(repeated(4, words), 2)
+def test_repeats_depend_on_what_is_kept(spark, words, left):
+    [(out, _)] = cleaned(spark, repeated(4, words))
     assert sum(m["role"] == "tool" for m in out) == left
 
 
-def test_different_calls_with_equal_results_stay():
+def test_different_calls_with_equal_results_stay(spark):
     chat = rows([said("user", "t"), call("a", given={"n": 1}, words=""), result("a", "1"), call("b", given={"n": 2}, words=""), result("b", "1"), said("user", "x"), said("user", "y")])
-    out, removed = structural.clean(chat, 2)
+    [(out, removed)] = cleaned(spark, chat)
     assert len(out) == 7 and removed == 0
 
 
-def test_empty_answers_and_results_go_with_their_calls():
+def test_empty_answers_and_results_go_with_their_calls(spark):
     chat = rows([said("user", "t"), said("assistant", "  "), call("a", words=""), result("a", " "), said("assistant", "one"), said("assistant", "two"), said("user", "x"), said("user", "y")])
-    out, removed = structural.clean(chat, 2)
+    [(out, removed)] = cleaned(spark, chat)
     assert [m["role"] for m in out] == ["user", "assistant", "user", "user"]
     assert out[1]["parts"][0]["text"] == "one\n\ntwo" and removed == 2 + len('{"command":"x"}') + 1
 
 
-def test_rich_parts_and_summaries_stay():
+def test_rich_parts_and_summaries_stay(spark):
     rich = said("assistant", [{"type": "reasoning", "text": "hm"}])
     chat = rows([said("user", "t"), rich, said("assistant", structural.SUMMARY_MARK + " s"), said("assistant", "after"), said("user", "x"), said("user", "y")])
-    out, removed = structural.clean(chat, 2)
+    [(out, removed)] = cleaned(spark, chat)
     assert len(out) == 6 and removed == 0 and json.loads(out[1]["parts"][0]["raw"])["text"] == "hm"
 
 
-def test_every_call_keeps_its_result():
+def test_every_call_keeps_its_result(spark):
     rng = random.Random(7)
+    chats = []
     for _ in range(300):
         chat, k = [said("user", "t")], 0
         for _ in range(rng.randrange(12)):
@@ -79,20 +93,33 @@ def test_every_call_keeps_its_result():
             chat.append(said("tool", [{"type": "tool-result", "toolCallId": i, "toolName": "t", "output": {"type": "text", "value": rng.choice(["", "a", "b"])}} for i in ids]))
             if rng.random() < 0.3:
                 chat.append(said(rng.choice(["user", "assistant"]), rng.choice(["", "m"])))
-        before = rows(chat + [said("user", "x"), said("user", "y")])
-        out, removed = structural.clean(before, 2)
+        chats.append(rows(chat + [said("user", "x"), said("user", "y")]))
+    for before, (out, removed) in zip(chats, cleaned(spark, *chats)):
         parts = [p for m in out for p in m["parts"] or ()]
         calls = {p["call_id"] for p in parts if p["type"] == "tool-call"}
         results = {p["call_id"] for p in parts if p["type"] == "tool-result"}
         assert calls == results and removed >= 0
-        start, end = structural.region(before, 2)
-        assert out[:start] == before[:start] and out[len(out) - (len(before) - end) :] == before[end:]
+        start, end = structural.edges_of([m["role"] for m in before], 2)
+        place = lambda ms: [{k: v for k, v in m.items() if k != "pos"} for m in ms]
+        assert place(out[:start]) == place(before[:start]) and place(out[len(out) - (len(before) - end) :]) == place(before[end:])
+        assert [m["pos"] for m in out] == list(range(len(out)))
+
+
+def test_walk_sees_no_text(spark):
+    """What is sent to Python has the same columns of figures and digests however long the texts are, and white space of any kind is blank."""
+    chat = rows([said("user", "t"), said("assistant", "\u3000\n"), call("a"), result("a", "y" * 100_000), call("b"), result("b", "y" * 100_000), said("user", "x"), said("user", "y")])
+    df = spark.createDataFrame(chat, SCHEMA)
+    assert max(len(str(v)) for r in structural.skeleton(df, "m").collect() for v in r) == 64
+    [(out, removed)] = cleaned(spark, chat)
+    assert removed == 2 + 100_000 + len('{"command":"x"}') and [m["role"] for m in out] == ["user", "assistant", "tool", "assistant", "user", "user"]
+
+
 
 
 @pytest.mark.parametrize("users, n, protected, want", [([0], 10, 2, (1, 5)), ([0], 10, 1, (1, 1)), ([0, 5], 10, 2, (1, 1)), ([0, 5, 8], 10, 2, (1, 5)), ([], 4, 2, (0, 0)), ([2], 4, 3, (3, 3))])
 def test_region(spark, users, n, protected, want):
     chat = [said("user" if i in users else "assistant", "m") for i in range(n)]
-    assert structural.region(rows(chat), protected) == want
+    assert structural.edges_of([m["role"] for m in rows(chat)], protected) == want
     b = region.bounds(from_json(spark, {1: chat}), protected).first()
     assert (b.region_start, b.region_end) == want
 
