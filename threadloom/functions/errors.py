@@ -8,6 +8,8 @@ return before it keeps a line from matching, as the message must reach its end.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,8 +129,19 @@ def plain(text: Column) -> Column:
 
 
 def summary(text: Column, context: int = 8) -> Column:
-    """The essence of an error output, or null where none is recognised."""
-    return let(text, lambda t: F.coalesce(tsc(t, context), python(t, context), jest(t), node(t), plain(t)))
+    """The essence of an error output, or null where none is recognised; a kind's patterns are tried only where a word that it needs occurs."""
+
+    def tried(t: Column) -> Column:
+        holds = lambda *words: reduce(or_, (t.contains(w) for w in words))
+        return F.coalesce(
+            F.when(holds("error"), tsc(t, context)),
+            F.when(holds("Traceback (most recent", "FAILED"), python(t, context)),
+            F.when(holds("✕", "×", "●"), jest(t)),
+            F.when(holds("Error:", "Exception:"), node(t)),
+            F.when(holds("Failure:", "Error:", "Exception:"), plain(t)),
+        )
+
+    return let(text, tried)
 
 
 def marked(text: Column, body: Column, label: str, suffix: str | Column) -> Column:

@@ -238,7 +238,8 @@ def structural(messages: DataFrame, protected: int, least: int = 4, enabled: boo
     m = messages.select(F.col("conv_id").alias("__conv"), F.col("pos").alias("__src"), *columns)
 
     def held(which: DataFrame) -> DataFrame:
-        return m.join(which, m["__conv"].eqNullSafe(which["conv_id"]) & (m["__src"] == which["src"]))
+        # decisions are hashed, so texts aren't sorted, and move by message: no conversation is one task's
+        return m.join(which.hint("shuffle_hash"), m["__conv"].eqNullSafe(which["conv_id"]) & (m["__src"] == which["src"]))
 
     pick = F.transform("left", lambda i: F.get("parts", i))
     alone = held(plan.filter("joins = 1")).withColumn("parts", F.when(F.col("left").isNull() | (F.size("left") == F.size("parts")), F.col("parts")).otherwise(pick))
