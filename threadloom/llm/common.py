@@ -29,6 +29,8 @@ HOT = 1000
 #: Bytes of a batch that goes to a Python worker, unless the session says otherwise.
 BATCH = 8 << 20
 _DEFAULT_BATCH = 64 << 20
+#: Whether an action's shuffles go when it ends; what later actions need is in checkpoints by then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that helpers look at together, and entries of the tables that hashing keeps.
 RUN = 1 << 18
 TABLE = 1 << 20
@@ -64,8 +66,10 @@ def tidied(run: Callable) -> Callable:
 
 
 def prepare(spark: SparkSession) -> str:
-    """Let Python workers import this package, send them smaller batches than by default, and name a checkpoint folder.
+    """Let Python workers import this package, send them smaller batches than by default, drop an action's shuffles when it ends, and name a checkpoint folder.
 
+    What the session sets itself stays.  Without the clean-up, shuffles of all
+    steps stay on the executors' disks until the driver collects garbage.
     The folder of spark.checkpoint.dir is taken where the session has one; where
     it is unset a temporary one is made, which is possible on a local master only.
     """
@@ -76,6 +80,8 @@ def prepare(spark: SparkSession) -> str:
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(size).lower() in (str(_DEFAULT_BATCH), f"{_DEFAULT_BATCH}b", "64mb", "64m"):
         spark.conf.set(size, str(BATCH))
+    if CLEANUP not in spark.conf.getAll:
+        spark.conf.set(CLEANUP, "true")
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local[") and sc.master != "local":
