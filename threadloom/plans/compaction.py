@@ -23,7 +23,7 @@ def compact(messages: DataFrame, config: Config = Config(), generate: Callable[[
     Errors are summarised before truncation, so that they are seen whole; the
     thresholds of truncation and summaries look at the size before any pass.
     `disabled` has conv_id of conversations for which summaries are switched off.
-    One shuffle by conversation cleans; the passes after it are projections.
+    What the clean-up decides is computed when this is called, once for all outputs; the passes after it are projections.
     `generate` runs before this returns, once for each conversation that needs a summary.
     """
     depth = LEVELS.index(config.level)
