@@ -582,6 +582,4 @@ def stream_tool_errors(spark, d):
 def stream_failure_gate(spark, d):
     e = _stream(spark, d, "events")
     runs = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"), (F.col("event_type") == "purchase").alias("succeeded"))
-    out = drained(tools.gate(runs))
-    events = table(spark, d, "events").select("event_id", F.col("user_id").alias("key"), F.col("event_id").alias("seq"))
-    return out.join(events, ["key", "seq"]).select("event_id", "open")
+    return drained(tools.gate(runs)).select(F.col("seq").alias("event_id"), "open")
