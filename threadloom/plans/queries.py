@@ -6,6 +6,8 @@ expressions that both sides state.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -383,7 +385,8 @@ def saved_cost(spark, d):
     "SELECT s_suppkey AS task, CASE WHEN u <= 0 THEN '$0.00' WHEN u < 0.01 THEN printf('$%.4f', u) ELSE printf('$%.2f', u) END AS usd FROM (SELECT s_suppkey, (s_suppkey - 3) * 0.00131 AS u FROM supplier)"
 )
 def usd_format(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("task"), text.usd(((F.col("s_suppkey") - 3) * F.lit(0.00131))).alias("usd"))
+    amount = ((F.col("s_suppkey") - 3) * F.lit(Decimal("0.00131"))).cast("double")  # SQL's literal is a decimal
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("task"), F.when(F.col("s_suppkey").isNotNull(), text.usd(amount)).alias("usd"))
 
 
 # --- archive
